@@ -4,18 +4,18 @@ Size-banded tiles: a document of n shingles belongs to the tile of its power of
 one below if it is within a quarter of it, so that any two linked documents meet in a
 tile. Within a tile, the shingle space is cut by hash into m parts; a document's signature
 in a part is the hash of its shingles there, and documents that agree in a part meet in a
-*cell*. m is such that two documents at the threshold agree in 28 non-empty parts on
-average, so the chance to miss a pair is about e^-28 (less than of a 64-bit hash
-collision among the pairs of a large corpus). Below 64 shingles the cells are prefix tokens, which
+*cell*. m is such that two documents at the threshold agree in ``MEET`` non-empty parts on
+average, so the chance to miss a pair at the threshold is about e^-18 (one in 60 million), and less
+above it. Below 64 shingles the cells are prefix tokens, which
 miss nothing.
 
 Work stays far from all pairs of a cell. Documents with equal sets are one node. Every node of
 a cell is first compared with the cell's smallest node (a star). Cells whose nodes are then in
 one component need nothing more. In the others, each node outside the largest component is held
-against all nodes of other components by bitmaps of 2 to 4 bits a shingle, whose counts bound
+against all nodes of other components by bitmaps of 8 to 16 bits a shingle, whose counts bound
 the overlap from above; only pairs that may reach the threshold are intersected exactly.
-The first round takes the three most promising nodes of each other component, the second one
-all that are still apart, so components are those of all links.
+The first two rounds take, of each tile, a forest of the most promising pairs between components, the last
+one all pairs that are still apart, so components are those of all links.
 
 Null or wordless text: no shingles, linked with nothing. Rows without doc_id take part, but
 a component of only such rows has a null id. Repeated rows are kept as they are.
@@ -36,14 +36,13 @@ from quern.llm.graphs import components
 from quern.llm.textual import batch_shingles, batches, mix
 from quern.storage import stored
 
-MEET = 28.0
+MEET = 18.0
 #: Documents of fewer shingles use prefix tokens.
 SMALL = 64
 #: Postings that a map task holds before it sends them on, and that a bucket gets on average.
 HELD, BUCKET = 1_000_000, 1_000_000
 #: Nodes of a tile's side.
 BLOCK = 1024
-FIRST = 3
 
 
 @functools.cache
@@ -81,7 +80,7 @@ def signatures(s: np.ndarray) -> np.ndarray:
 
 
 def bits(n: int) -> int:
-    return max(64, 1 << (2 * n - 1).bit_length())
+    return max(64, 1 << (8 * n - 1).bit_length())
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -219,42 +218,59 @@ def _verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).take(pa.array(out, pa.int64()))
 
 
-CANDIDATES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
+CANDIDATES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _tile(table: pa.Table, most: int) -> pa.Table:
-    """Pairs of a bucket's tiles that the bitmaps allow; at most ``most`` for a node and other component (0: all)."""
+def _forest(a: np.ndarray, b: np.ndarray, promise: np.ndarray) -> np.ndarray:
+    """Places of the pairs, the most promising first, that join components not yet joined by earlier ones."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for k, x, y in zip((order := np.argsort(-promise, kind="stable")).tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        if (p := find(x)) != (q := find(y)):
+            parent[p] = q
+            out.append(k)
+    return np.array(out, "i8")
+
+
+def _tile(table: pa.Table, forest: bool) -> pa.Table:
+    """Pairs of a bucket's tiles that the bitmaps allow, of nodes in different components.
+
+    forest: only as many of each tile as join its components, if all were linked.
+    """
     frame = table.combine_chunks()
     key = [frame[c].to_numpy() for c in ("cell", "i", "j")]
     role, node, comp, n = (frame[c].to_numpy() for c in ("role", "node", "comp", "n"))
     maps = frame["bitmap"].chunk(0) if frame.num_rows else None
-    order = np.lexsort((role, *key[::-1]))
+    order = np.lexsort((node, role, *key[::-1]))
     change = np.any([k[order][1:] != k[order][:-1] for k in key], axis=0) if len(order) else np.zeros(0, bool)
-    out_a, out_b, more = [], [], []
+    done = [np.zeros((0, 2), "i8")]
     for own in np.split(order, np.flatnonzero(change) + 1):
         left, right = own[role[own] == 0], own[role[own] == 1]
         if not len(left) or not len(right):
             continue
-        raw = {k: np.frombuffer(maps[int(k)].as_buffer(), "u8") for k in own}
+        raw = {k: np.frombuffer(maps[int(k)].as_buffer(), "u8") for k in own.tolist()}
         w = min(map(len, raw.values()))
-        bs = np.stack([_fold(raw[k], w) for k in right])
+        bs = np.stack([_fold(raw[k], w) for k in right.tolist()])
         ns, cs, vs = n[right], comp[right], node[right]
-        for k in left:
+        pairs = []
+        for k in left.tolist():
             top = bound(n[k], _fold(raw[k], w), ns, bs)
             ok = np.flatnonzero((cs != comp[k]) & (5 * np.minimum(ns, n[k]) >= 4 * np.maximum(ns, n[k])) & (100 * top >= 80 * (ns + n[k] - top)))
-            if not len(ok):
-                continue
-            ok = ok[np.lexsort((vs[ok], -top[ok] / (ns[ok] + n[k] - top[ok]), cs[ok]))]
-            head = np.append(True, cs[ok][1:] != cs[ok][:-1])
-            rank = np.arange(len(ok)) - np.maximum.accumulate(np.where(head, np.arange(len(ok)), 0))
-            cut = bool(most) and bool((rank >= most).any())
-            if most:
-                ok = ok[rank < most]
-            out_a.append(np.minimum(node[k], vs[ok]))
-            out_b.append(np.maximum(node[k], vs[ok]))
-            more.append(np.full(len(ok), cut))
-    cat = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, t))
-    return pa.table([cat(out_a, "i8"), cat(out_b, "i8"), cat(more, "?")], schema=CANDIDATES)
+            if len(ok):
+                pairs.append((np.full(len(ok), node[k]), vs[ok], np.full(len(ok), comp[k]), cs[ok], top[ok] / (ns[ok] + n[k] - top[ok])))
+        if pairs:
+            a, b, ca, cb, promise = map(np.concatenate, zip(*pairs, strict=True))
+            pick = _forest(ca, cb, promise) if forest else np.arange(len(a))
+            done.append(np.stack([np.minimum(a, b)[pick], np.maximum(a, b)[pick]], 1))
+    out = np.unique(np.concatenate(done), axis=0)
+    return pa.table([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], schema=CANDIDATES)
 
 
 def _linked_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -263,7 +279,7 @@ def _linked_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_verify, "a long, b long")
 
 
-def _apart(members: DataFrame, comp: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+def _apart(members: DataFrame, comp: DataFrame, nodes: DataFrame, forest: bool) -> DataFrame:
     """Pairs of nodes that share a cell, are in different components, and may be linked."""
     spark = members.sparkSession
     m = members.join(comp, "node", "left").select("cell", "node", F.coalesce("comp", "node").alias("comp"))
@@ -280,7 +296,7 @@ def _apart(members: DataFrame, comp: DataFrame, nodes: DataFrame, most: int) ->
     total = m.count()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 20_000)
     rows = rows.withColumn("bucket", F.pmod(F.hash("cell", "i", "j"), F.lit(buckets)))
-    return rows.groupBy("bucket").applyInArrow(lambda t: _tile(t, most), "a long, b long, more boolean")
+    return rows.groupBy("bucket").applyInArrow(lambda t: _tile(t, forest), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -303,14 +319,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     star = members.join(members.groupBy("cell").agg(F.min("node").alias("centre")), "cell").filter("node != centre")
     links = stored(_linked_pairs(star.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), nodes), "stars")
     comp = components(links)
-    for most in (FIRST, 0):
-        found = stored(_apart(members, comp, nodes, most).groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
+    for forest in (True, True, False):
+        found = stored(_apart(members, comp, nodes, forest).distinct(), "pairs")
         if not found.limit(1).count():
             break
-        links = stored(links.union(_linked_pairs(found.select("a", "b"), nodes)), "links")
+        links = stored(links.union(_linked_pairs(found, nodes)), "links")
         comp = components(links)
-        if not found.filter("more").limit(1).count():
-            break
     named = classes.join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_node = named.join(least, "comp").select("node", "component_id")

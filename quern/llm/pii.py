@@ -175,7 +175,7 @@ def disclosing_terms(docs: DataFrame) -> DataFrame | None:
             rows = [(w, _key(t)) for t in b["text"].to_pylist() if t for w in {f[0] for f in _words_in(t, shared.value)}]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["term", "text"])
 
-    every = texts.select(F.xxhash64("text").alias("h")).agg(F.approx_count_distinct("h").alias("n")).first()["n"] or 1
+    every = texts.select(F.xxhash64("text").alias("h")).agg(F.countDistinct("h").alias("n")).first()["n"] or 1
     counts = texts.mapInArrow(holding, "term string, text long").distinct().groupBy("term").agg(F.count("*").alias("texts"))
     entities = near.groupBy("entity").agg(F.countDistinct("place").alias("places"))
     own = pairs.join(counts, "term").join(entities, "entity")
