@@ -190,7 +190,9 @@ def build(df: DataFrame, shard: int = SHARD) -> DataFrame:
         order = np.lexsort((ids, mix(ids.view("u8"))))
         return pa.table({"dim": table["dim"][:1], "shard": table["shard"][:1], "graph": pa.array([g.pack()], pa.binary()), "exact": pa.array([np.ascontiguousarray(x[order]).tobytes()], pa.binary())})
 
-    return stored(rows.select("dim", "shard", "vec_id", "embedding").groupBy("dim", "shard").applyInArrow(lambda t: run(t), "dim int, shard int, graph binary, exact binary"), "hnsw")
+    # as many partitions as shards: few bytes, but long work, which AQE would put together
+    count = shards.agg(F.sum("shards")).first()[0] or 1
+    return stored(rows.select("dim", "shard", "vec_id", "embedding").repartition(int(count), "dim", "shard").groupBy("dim", "shard").applyInArrow(lambda t: run(t), "dim int, shard int, graph binary, exact binary"), "hnsw")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF_SEARCH, block: int = QUERY_BLOCK) -> DataFrame:
@@ -228,6 +230,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF_SEARC
                     ok = np.isfinite(s)
                     yield pa.record_batch([pa.array(np.repeat(own, ok.sum(1))), pa.array(vec[ok]), pa.array(s[ok])], ["query_id", "vec_id", "score"])
 
-    found = visits.repartition("dim", "shard", "block").join(index, ["dim", "shard"]).mapInArrow(run, "query_id long, vec_id long, score double")
+    visits = stored(visits, "visits")
+    found = visits.join(index, ["dim", "shard"]).repartition(max(1, visits.count()), "dim", "shard", "block").mapInArrow(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
