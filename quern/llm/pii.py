@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.textual import batches
@@ -119,12 +119,13 @@ def _key(term: str) -> int:
 
 
 def _contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, entity, surroundings) for the words around each entity."""
+    """(term, entity, surroundings, text) for the words around each entity."""
     for b in it:
-        rows: list[tuple[str, int, int]] = []
+        rows: list[tuple[str, int, int, int]] = []
         for text in b["text"].to_pylist():
             if not (spans := base_spans(text or "")):
                 continue
+            whole = _key(text)
             for kind, start, end in spans:
                 value = text[start:end].lower()
                 entity = _key(f"{kind}:{value if kind in ('email', 'ip') else ''.join(c for c in value if c.isdigit())}")
@@ -133,8 +134,8 @@ def _contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 before = [m[0].lower() for m in _word.finditer(text, lo, start) if free(m)][-NEAR:]
                 after = [m[0].lower() for m in _word.finditer(text, end, hi) if free(m)][:NEAR]
                 place = _key(" ".join([*before, "|", *after]))
-                rows += [(w, entity, place) for w in {*before, *after}]
-        yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["term", "entity", "place"])
+                rows += [(w, entity, place, whole) for w in {*before, *after}]
+        yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3))], ["term", "entity", "place", "text"])
 
 
 def _bit_filter(terms: DataFrame) -> np.ndarray:
@@ -153,13 +154,23 @@ def _words_in(text: str, table: np.ndarray) -> list[tuple[str, int, int]]:
     return [f for f in found if known[f[0]]]
 
 
+def _share(texts: str) -> Column:
+    """Of ``texts`` texts with a term, the share that stands by an entity; surroundings may outnumber texts."""
+    return F.col("both") / F.greatest(texts, "both")
+
+
 def disclosing_terms(docs: DataFrame) -> DataFrame | None:
     """Stored (term, key) of the terms that disclose an entity; None if there are none."""
     batches(docs.sparkSession)
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    near = stored(texts.mapInArrow(_contexts, "term string, entity long, place long").distinct(), "contexts")
-    pairs = near.groupBy("term", "entity").agg(F.count("*").alias("both")).filter(F.col("both") >= SUPPORT)
-    pairs = stored(pairs, "pairs")
+    every = texts.select(F.xxhash64("text").alias("h")).agg(F.countDistinct("h").alias("n")).first()["n"] or 1
+    near = stored(texts.mapInArrow(_contexts, "term string, entity long, place long, text long").distinct(), "contexts")
+    both = near.select("term", "entity", "place").distinct().groupBy("term", "entity").agg(F.count("*").alias("both")).filter(F.col("both") >= SUPPORT)
+    entities = near.select("entity", "place").distinct().groupBy("entity").agg(F.count("*").alias("places"))
+    # a term is in no fewer texts than stand by entities here, so these bounds let every disclosing pair through
+    seen = near.select("term", "text").distinct().groupBy("term").agg(F.count("*").alias("seen"))
+    disclosing = lambda texts: (_share(texts) >= DISCLOSURE) & (F.log2(_share(texts) * every / F.col("places")) >= BITS)
+    pairs = stored(both.join(seen, "term").join(entities, "entity").filter(disclosing("seen")), "pairs")
     if not pairs.limit(1).count():
         return None
 
@@ -175,13 +186,8 @@ def disclosing_terms(docs: DataFrame) -> DataFrame | None:
             rows = [(w, _key(t)) for t in b["text"].to_pylist() if t for w in {f[0] for f in _words_in(t, shared.value)}]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["term", "text"])
 
-    every = texts.select(F.xxhash64("text").alias("h")).agg(F.countDistinct("h").alias("n")).first()["n"] or 1
     counts = texts.mapInArrow(holding, "term string, text long").distinct().groupBy("term").agg(F.count("*").alias("texts"))
-    entities = near.groupBy("entity").agg(F.countDistinct("place").alias("places"))
-    own = pairs.join(counts, "term").join(entities, "entity")
-    share = F.col("both") / F.greatest("texts", "both")
-    bits = F.log2(share * every / F.col("places"))
-    found = stored(own.filter((share >= DISCLOSURE) & (bits >= BITS)).select("term").distinct().join(terms, "term"), "disclosing")
+    found = stored(pairs.join(counts, "term").filter(disclosing("texts")).select("term").distinct().join(terms, "term"), "disclosing")
     return found if found.limit(1).count() else None
 
 
