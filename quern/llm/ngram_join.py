@@ -107,6 +107,17 @@ def _features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, t.type) if isinstance(c, list) else c for c, t in zip(columns, FEATURES, strict=True)], schema=FEATURES)
 
 
+NODES = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("bitmap", pa.binary()), ("text", pa.string())])
+
+
+def _nodes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        sets = batch_shingles(batch["text"])
+        rows = [k for k, s in enumerate(sets) if len(s)]
+        columns = [[node_of(sets[k]) for k in rows], [len(sets[k]) for k in rows], [bitmap(sets[k]) for k in rows], batch["text"].take(pa.array(rows, pa.int64()))]
+        yield pa.record_batch([pa.array(c, t.type) if isinstance(c, list) else c for c, t in zip(columns, NODES, strict=True)], schema=NODES)
+
+
 PACKED = pa.schema([("bucket", pa.int32()), ("meeting", pa.bool_()), ("cells", pa.binary()), ("nodes", pa.binary())])
 
 
@@ -313,8 +324,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     whole = features.filter("node is not null")
     classes = whole.groupBy("node").agg(F.min("doc_id").alias("rep"))
     involved = members.select("node").distinct().join(classes, "node")
-    own = features.withColumnRenamed("doc_id", "rep").join(involved, ["node", "rep"]).select("node", F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n"), "bitmap")
-    nodes = stored(docs.join(own, "doc_id").dropDuplicates(["node"]).select("node", "n", "bitmap", "text"), "nodes")
+    # a doc_id may be null, or stand by several texts, so the set of each text is made anew
+    reps = involved.select("rep").distinct()
+    texts = docs.join(reps, docs.doc_id.eqNullSafe(reps.rep), "left_semi").select("text").mapInArrow(_nodes, "node long, n long, bitmap binary, text string")
+    nodes = stored(texts.join(involved.select("node"), "node", "left_semi").dropDuplicates(["node"]), "nodes")
 
     star = members.join(members.groupBy("cell").agg(F.min("node").alias("centre")), "cell").filter("node != centre")
     links = stored(_linked_pairs(star.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), nodes), "stars")

@@ -61,6 +61,15 @@ def test_against_brute_force(spark, seed):
     assert got == brute(rows)
 
 
+def test_ids_that_are_null_or_stand_by_several_texts(spark):
+    r = random.Random(9)
+    texts = [" ".join(f"{k}w{r.randrange(900)}" for _ in range(80)) for k in range(6)]
+    near = [t + " and one more" for t in texts]
+    rows = [(4, texts[0]), (4, texts[1]), (9, near[0]), (8, near[1]), (None, texts[2]), (None, near[2]), (None, texts[3]), (2, near[3]), (None, texts[4]), (None, texts[4])]
+    got = sorted((tuple(x) for x in nj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_empty(spark):
     assert nj.jaccard_components(spark.createDataFrame([], "doc_id long, text string, node long")).count() == 0
 
