@@ -147,11 +147,15 @@ def _bit_filter(terms: DataFrame) -> np.ndarray:
     return out
 
 
+def _known(text: str, table: np.ndarray) -> set[str]:
+    """The distinct words of ``text``, as written, that may be terms."""
+    return {w for w in set(_word.findall(text)) if table[_key(w.lower()) % len(table)]}
+
+
 def _words_in(text: str, table: np.ndarray) -> list[tuple[str, int, int]]:
-    """(word, start, end) of the words that may be terms."""
-    found = [(m[0].lower(), *m.span()) for m in _word.finditer(text)]
-    known = {w: table[_key(w) % len(table)] for w in {f[0] for f in found}}
-    return [f for f in found if known[f[0]]]
+    """(word, start, end) of the words that may be terms; places are sought only in texts that have such words."""
+    known = _known(text, table)
+    return [(m[0].lower(), *m.span()) for m in _word.finditer(text) if m[0] in known] if known else []
 
 
 def _share(texts: str) -> Column:
@@ -183,7 +187,7 @@ def disclosing_terms(docs: DataFrame) -> DataFrame | None:
 
     def holding(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows = [(w, _key(t)) for t in b["text"].to_pylist() if t for w in {f[0] for f in _words_in(t, shared.value)}]
+            rows = [(w, _key(t)) for t in b["text"].to_pylist() if t for w in {x.lower() for x in _known(t, shared.value)}]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["term", "text"])
 
     counts = texts.mapInArrow(holding, "term string, text long").distinct().groupBy("term").agg(F.count("*").alias("texts"))
