@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, ngram_join, packing, pii, quality
 from quern.llm.queries import vocabulary_path
@@ -16,10 +17,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: that of the smallest doc_id."""
-    groups = stored(ngram_join.jaccard_components(docs), "groups")
-    others = groups.filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component of near copies: one with the smallest doc_id, null last. A doc_id may be repeated, so rows have ids of their own here."""
+    rows = stored(docs.withColumn("rid", F.monotonically_increasing_id()), "rows")
+    groups = ngram_join.jaccard_components(rows.select(F.col("rid").alias("doc_id"), "text")).select(F.col("doc_id").alias("rid"), "component_id")
+    ranked = rows.select("rid", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid").alias("place")).join(groups, "rid")
+    kept = ranked.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.rid").alias("rid"))
+    return rows.join(kept, "rid", "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -125,6 +125,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that contain no item."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long") == found["leak_id"], "left_anti")
+    """The rows of ``docs`` that contain no item. Each row is judged by its own text: a doc_id may be null, or stand by several texts."""
+    rows = stored(docs.withColumn("rid", F.monotonically_increasing_id()), "rows")
+    found = leaks(rows.select(F.col("rid").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("rid")).distinct()
+    return rows.join(found, "rid", "left_anti").select(*docs.columns)

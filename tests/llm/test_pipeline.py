@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 
@@ -25,3 +26,28 @@ def test_stages(spark):
     assert pii.find(docs).filter("n_email > 0").count() == 0
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == kept["PII"]
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    r = random.Random(12)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    item, copied, alone, other, hot = prose(30), prose(60), prose(60), prose(60), prose(60)
+    near = copied.rsplit(" ", 1)[0] + " changed"
+    leak = f"{prose(40)} {item} {prose(40)}"
+    rows = [(None, copied), (None, near), (None, alone), (5, near), (6, other), (6, leak), (None, leak + " end"), (None, None), (None, ""), (None, None), *[(3, hot)] * 40, *[(None, prose(50))] * 2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").split()] for i in range(len(w) - 4)}
+    linked = lambda a, b: bool(a and b) and len(a & b) >= 0.8 * len(a | b)
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        group = [min(g for g, s in zip(group, sets, strict=True) if s is sets[i] or linked(s, sets[i])) for i in range(len(rows))]
+    key = lambda x: (x[0] is None, x[0] or 0)
+    got = [tuple(x) for x in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+    want = [min((rows[i] for i in range(len(rows)) if group[i] == g), key=key) for g in set(group)]
+    ids = lambda x: sorted(map(str, (y[0] for y in x)))
+    assert len(got) == len(want) == len(set(group)) and ids(got) == ids(want)
+    assert {g[1] for g in got} >= {near, alone, other, hot} and copied not in {g[1] for g in got}
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = sorted((tuple(x) for x in decontaminate.clean(docs, bench).collect()), key=str)
+    assert clean == sorted((x for x in rows if not shingles(item) <= shingles(x[1])), key=str) and len(clean) == len(rows) - 2
