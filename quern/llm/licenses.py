@@ -1,14 +1,15 @@
 """Licence scan with DataFrame functions only (operator 8).
 
 A *header* is a line that speaks of a licence. Headers, and the short template texts, are vectors of TF-IDF
-weights: the document frequency of a term is the number of documents that have a header with
-it, plus that of the templates. A header takes the template of the largest cosine, if that reaches ``LEAST``.
+weights: the document frequency of a term, of a template or not, is the share of the documents with
+headers that have it in one, counted as if they were as many as the templates, plus that of the templates. So
+weights do not depend on the size of the corpus, and a word that no other header has weighs the same in any. A header takes the template of the largest cosine, if that reaches ``LEAST``.
 A document's own licence is that of its best header. A document that is little else than
 its headers (``FILE_SHARE`` of its words), or is named like one, is a *licence file*: its licence holds for its directory. A document
 without one of its own inherits from the nearest directory above it that has a licence file.
 
-Equal headers are scored once; only tables bounded by the templates are broadcast (their terms); the inheritance
-is an equi-join of directories with their ancestors, over distinct directories.
+Equal headers are scored once; only tables bounded by the templates are broadcast (their terms), the weights of other
+terms are joined; the inheritance is an equi-join of directories with their ancestors, over distinct directories.
 
 Ties: larger cosine, then licence name; in a directory also the smaller path. Null text has no header; a null
 path has no directory, so it inherits nothing. Repeated rows get equal results.
@@ -16,8 +17,6 @@ path has no directory, so it inherits nothing. Repeated rows get equal results.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +35,15 @@ TEMPLATES = {
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0.",
     "ISC": "Released under the ISC License.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: All templates: the notices, and the line that names the licence by its SPDX identifier.
+NOTICES = [*TEMPLATES.items(), *((name, f"SPDX-License-Identifier: {name}") for name in TEMPLATES)]
 HEADER = r"(?i)licen[sc]e|copyright|spdx|public domain|released under"
 FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|notice|copyright)[^/]*$"
 LEAST, FILE_SHARE = 0.6, 0.5
@@ -61,24 +65,26 @@ def _headers(docs: DataFrame) -> DataFrame:
 def _match(headers: DataFrame) -> DataFrame:
     """(line, licence, score) of each distinct header that reaches a template."""
     spark = headers.sparkSession
-    templates = spark.createDataFrame(list(TEMPLATES.items()), "licence string, notice string").withColumn("terms", terms(F.col("notice")))
+    templates = spark.createDataFrame(NOTICES, "licence string, notice string").withColumn("terms", terms(F.col("notice")))
     vocabulary = templates.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("own"))
     docs = headers.count()
     words = headers.select(F.explode(F.array_distinct(F.flatten(F.transform("lines", lambda x: F.array_distinct(terms(x)))))).alias("term"))
-    df = words.join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count("*").alias("found"))
-    size = float(docs + len(TEMPLATES))
-    idf = F.log(F.lit(size + 1) / (F.coalesce("found", F.lit(0)) + F.col("own") + 1)) + 1
-    weights = vocabulary.join(df, "term", "left").select("term", idf.alias("idf"))  # as many rows as the templates have terms
-    weights = stored(weights, "idf")
-    unknown = math.log(size + 1) + 1  # of a term that no template has
-    own = templates.select("licence", F.explode("terms").alias("term")).groupBy("licence", "term").agg(F.count("*").alias("tf")).join(F.broadcast(weights), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = own.groupBy("licence").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    own = own.join(F.broadcast(norms), "licence").select("licence", "term", (F.col("w") / F.col("norm")).alias("tw"))
+    df = words.groupBy("term").agg(F.count("*").alias("found"))
+    size = float(len(NOTICES))
+    share = F.coalesce("found", F.lit(0)) / F.lit(max(docs, 1))
+    idf = F.log(F.lit(2 * size + 1) / (F.coalesce("own", F.lit(0)) + share * size + 1)) + 1
+    weights = stored(df.join(vocabulary, "term", "full").select("term", idf.alias("idf"), F.col("own").isNotNull().alias("known")), "idf")
+    few, others = weights.filter("known").select("term", "idf"), weights.filter("not known").select("term", "idf")  # few: as many rows as the templates have terms
+    own = templates.select("licence", "notice", F.explode("terms").alias("term")).groupBy("licence", "notice", "term").agg(F.count("*").alias("tf")).join(F.broadcast(few), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    norms = own.groupBy("notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    own = own.join(F.broadcast(norms), "notice").select("licence", "notice", "term", (F.col("w") / F.col("norm")).alias("tw"))
     lines = headers.select(F.explode("lines").alias("line")).distinct()
-    tf = lines.select("line", F.explode(terms(F.col("line"))).alias("term")).groupBy("line", "term").agg(F.count("*").alias("tf"))
-    tf = tf.join(F.broadcast(weights), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
-    length = tf.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dot = tf.join(F.broadcast(own), "term").groupBy("line", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    tf = stored(lines.select("line", F.explode(terms(F.col("line"))).alias("term")).groupBy("line", "term").agg(F.count("*").alias("tf")).join(F.broadcast(few), "term", "left"), "terms")
+    weigh = lambda rows: rows.select("line", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    known = weigh(tf.filter("idf is not null"))
+    unknown = weigh(tf.filter("idf is null").drop("idf").join(others, "term"))
+    length = known.union(unknown).groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    dot = known.join(F.broadcast(own), "term").groupBy("line", "licence", "notice").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     scored = dot.join(length, "line").withColumn("score", F.round(F.col("dot") / F.col("length"), 6)).filter(F.col("score") >= LEAST)
     best = scored.groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("less"), "licence")).alias("b"))
     return best.select("line", F.col("b.licence").alias("licence"), (-F.col("b.less")).alias("score"))

@@ -240,6 +240,23 @@ def test_every_template_is_itself(spark):
     assert [g for g, n in zip(got, licenses.TEMPLATES, strict=True) if g != n] in ([], [None])
 
 
+def test_licences_do_not_depend_on_the_size_of_the_corpus(spark):
+    notices = {"GPL-3.0": 79, "CC-BY-NC-4.0": 63, "MIT": 63, "Apache-2.0": 57}
+    more = {
+        "This code is released under the MIT License.": "MIT", "This file is licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND-4.0",
+        "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "a licence to print money, says the copyright lawyer of the town": None,
+        "All the rights reserved, copyright by the zyx company": None,
+    }
+    seen = []
+    for times in (1, 40):
+        texts = [*more, *(licenses.TEMPLATES[n] for n, k in notices.items() for _ in range(k * times))]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rows = licenses.scan(df, F.lit(None)).filter(F.col("doc_id") < len(more)).orderBy("doc_id").collect()
+        assert [x.licence for x in rows] == list(more.values())
+        seen.append([x.score or 0 for x in rows])
+    assert np.allclose(*seen, atol=0.01)
+
+
 # 9
 def test_warc(spark):
     html = ["<p>a</p>", "<p>a</p>", "", None, "x\r\n\r\nWARC/1.1 y", "é" * 5000, "<p>a</p>"]
