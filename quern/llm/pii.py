@@ -3,8 +3,8 @@
 The patterns find emails, IPv4 addresses, card and phone numbers in whole texts, in linear time.
 Then corpus co-occurrence tells how strongly a term discloses an entity: of the
 distinct texts that hold the term, the share in which it stands within ``NEAR`` words of the same
-entity, counted over different surroundings (copies of a passage count once), and the pointwise
-mutual information of both. Terms with enough different surroundings (``SUPPORT``), a share
+entity (a passage that many texts share counts in each, copies of a text count once), and the pointwise
+mutual information of both. Terms with enough such texts (``SUPPORT``), a share
 of at least ``DISCLOSURE`` and at least ``BITS`` bits are spans of kind ``term`` wherever they stand. In texts, patterns
 are generalised to their kind and terms are removed.
 
@@ -119,9 +119,9 @@ def _key(term: str) -> int:
 
 
 def _contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, entity, surroundings, text) for the words around each entity."""
+    """(term, entity, text) for the words around each entity."""
     for b in it:
-        rows: list[tuple[str, int, int, int]] = []
+        rows: list[tuple[str, int, int]] = []
         for text in b["text"].to_pylist():
             if not (spans := base_spans(text or "")):
                 continue
@@ -133,9 +133,8 @@ def _contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 free = lambda m: all(m.end() <= a or m.start() >= z for _, a, z in spans)  # noqa: B023, E731
                 before = [m[0].lower() for m in _word.finditer(text, lo, start) if free(m)][-NEAR:]
                 after = [m[0].lower() for m in _word.finditer(text, end, hi) if free(m)][:NEAR]
-                place = _key(" ".join([*before, "|", *after]))
-                rows += [(w, entity, place, whole) for w in {*before, *after}]
-        yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3))], ["term", "entity", "place", "text"])
+                rows += [(w, entity, whole) for w in {*before, *after}]
+        yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2))], ["term", "entity", "text"])
 
 
 def _bit_filter(terms: DataFrame) -> np.ndarray:
@@ -159,7 +158,7 @@ def _words_in(text: str, table: np.ndarray) -> list[tuple[str, int, int]]:
 
 
 def _share(texts: str) -> Column:
-    """Of ``texts`` texts with a term, the share that stands by an entity; surroundings may outnumber texts."""
+    """Of ``texts`` texts with a term, the share in which it stands by an entity; a word cut off by the window may be in no text as a whole."""
     return F.col("both") / F.greatest(texts, "both")
 
 
@@ -168,9 +167,9 @@ def disclosing_terms(docs: DataFrame) -> DataFrame | None:
     batches(docs.sparkSession)
     texts = docs.select(F.col("text").cast("string").alias("text"))
     every = texts.select(F.xxhash64("text").alias("h")).agg(F.countDistinct("h").alias("n")).first()["n"] or 1
-    near = stored(texts.mapInArrow(_contexts, "term string, entity long, place long, text long").distinct(), "contexts")
-    both = near.select("term", "entity", "place").distinct().groupBy("term", "entity").agg(F.count("*").alias("both")).filter(F.col("both") >= SUPPORT)
-    entities = near.select("entity", "place").distinct().groupBy("entity").agg(F.count("*").alias("places"))
+    near = stored(texts.mapInArrow(_contexts, "term string, entity long, text long").distinct(), "contexts")
+    both = near.groupBy("term", "entity").agg(F.count("*").alias("both")).filter(F.col("both") >= SUPPORT)
+    entities = near.select("entity", "text").distinct().groupBy("entity").agg(F.count("*").alias("places"))
     # a term is in no fewer texts than stand by entities here, so these bounds let every disclosing pair through
     seen = near.select("term", "text").distinct().groupBy("term").agg(F.count("*").alias("seen"))
     disclosing = lambda texts: (_share(texts) >= DISCLOSURE) & (F.log2(_share(texts) * every / F.col("places")) >= BITS)

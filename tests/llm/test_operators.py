@@ -218,6 +218,17 @@ def test_pii_terms(spark, monkeypatch):
     assert pii.clean(docs).schema == docs.schema and pii.find(docs.limit(0)).count() == 0
 
 
+def test_pii_terms_of_a_shared_footer(spark):
+    r = random.Random(13)
+    footer = "here this long note was written by zorblax at joe@mail.example.com for all you and your kin some day"
+    texts = [f"{prose(r, 30)} {footer}" for _ in range(4)] + [prose(r, 8) for _ in range(1200)]
+    texts += [f"{prose(r, 8)} {w}" for w in footer.split() if w not in ("zorblax", "joe@mail.example.com") for _ in range(9)] + [texts[0]] * 5
+    docs = frame(spark, texts).repartition(3)
+    cleaned = {x.doc_id: x.text for x in pii.clean(docs).collect()}
+    for d, t in enumerate(texts):
+        assert cleaned[d] == t.replace("zorblax", "").replace("joe@mail.example.com", "[EMAIL]")
+
+
 # 8
 def test_licences(spark):
     rows = [
