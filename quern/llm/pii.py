@@ -5,7 +5,8 @@ Then corpus co-occurrence tells how strongly a term discloses an entity: of the
 distinct texts that hold the term, the share in which it stands within ``NEAR`` words of the same
 entity (a passage that many texts share counts in each, copies of a text count once), and the pointwise
 mutual information of both. Terms with enough such texts (``SUPPORT``), a share
-of at least ``DISCLOSURE`` and at least ``BITS`` bits are spans of kind ``term`` wherever they stand. In texts, patterns
+of at least ``DISCLOSURE`` and at least ``BITS`` bits, or where the entity itself is not as rare, ``PART`` of the bits that
+tell it (so that small corpora and frequent entities have disclosing terms too) are spans of kind ``term`` wherever they stand. In texts, patterns
 are generalised to their kind and terms are removed.
 
 Counts cover all documents. Terms are joined, not broadcast; only a bit filter of fixed size goes
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ from quern.storage import stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR, SUPPORT, DISCLOSURE, BITS = 5, 3, 0.5, 8.0
-FILTER_BITS = 20
+PART, FILTER_BITS = 0.5, 20
 
 Span = tuple[str, int, int]
 
@@ -42,7 +44,7 @@ _part = re.compile(r"[0-9]+")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _digit = re.compile(r"[0-9]")
-_word = re.compile(r"[^\W\d_]{3,}")
+_word = re.compile(r"[^\W_]+")
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -118,6 +120,18 @@ def _key(term: str) -> int:
     return xxhash.xxh64_intdigest(term) - (1 << 63)
 
 
+def _free_words(text: str, spans: list[Span]) -> list[tuple[str, int, int]]:
+    """(word, start, end) of the words, numbers aside, that no span touches."""
+    out, k, to = [], 0, 0
+    for m in _word.finditer(text):
+        while k < len(spans) and spans[k][1] < m.end():
+            to = max(to, spans[k][2])
+            k += 1
+        if to <= m.start() and not m[0].isdecimal():
+            out.append((m[0].lower(), *m.span()))
+    return out
+
+
 def _contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, entity, text) for the words around each entity."""
     for b in it:
@@ -126,14 +140,13 @@ def _contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not (spans := base_spans(text or "")):
                 continue
             whole = _key(text)
+            words = _free_words(text, spans)
+            starts, ends = [w[1] for w in words], [w[2] for w in words]
             for kind, start, end in spans:
                 value = text[start:end].lower()
                 entity = _key(f"{kind}:{value if kind in ('email', 'ip') else ''.join(c for c in value if c.isdigit())}")
-                lo, hi = max(0, start - 200), min(len(text), end + 200)
-                free = lambda m: all(m.end() <= a or m.start() >= z for _, a, z in spans)  # noqa: B023, E731
-                before = [m[0].lower() for m in _word.finditer(text, lo, start) if free(m)][-NEAR:]
-                after = [m[0].lower() for m in _word.finditer(text, end, hi) if free(m)][:NEAR]
-                rows += [(w, entity, whole) for w in {*before, *after}]
+                before, after = bisect_right(ends, start), bisect_left(starts, end)
+                rows += [(w, entity, whole) for w in {x[0] for x in words[max(0, before - NEAR) : before] + words[after : after + NEAR]}]
         yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2))], ["term", "entity", "text"])
 
 
@@ -157,9 +170,11 @@ def _words_in(text: str, table: np.ndarray) -> list[tuple[str, int, int]]:
     return [(m[0].lower(), *m.span()) for m in _word.finditer(text) if m[0] in known] if known else []
 
 
-def _share(texts: str) -> Column:
-    """Of ``texts`` texts with a term, the share in which it stands by an entity; a word cut off by the window may be in no text as a whole."""
-    return F.col("both") / F.greatest(texts, "both")
+def _disclosing(texts: str, every: int) -> Column:
+    """Whether a term discloses an entity: of its ``texts``, it is by it in ``both``; the entity is in ``places`` of all ``every`` texts."""
+    share, rarity = F.col("both") / F.col(texts), F.log2(F.lit(float(every)) / F.col("places"))
+    bits = F.log2(share) + rarity
+    return (share >= DISCLOSURE) & (bits > 0) & (bits >= F.least(F.lit(BITS), rarity * PART))
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame | None:
@@ -172,8 +187,7 @@ def disclosing_terms(docs: DataFrame) -> DataFrame | None:
     entities = near.select("entity", "text").distinct().groupBy("entity").agg(F.count("*").alias("places"))
     # a term is in no fewer texts than stand by entities here, so these bounds let every disclosing pair through
     seen = near.select("term", "text").distinct().groupBy("term").agg(F.count("*").alias("seen"))
-    disclosing = lambda texts: (_share(texts) >= DISCLOSURE) & (F.log2(_share(texts) * every / F.col("places")) >= BITS)
-    pairs = stored(both.join(seen, "term").join(entities, "entity").filter(disclosing("seen")), "pairs")
+    pairs = stored(both.join(seen, "term").join(entities, "entity").filter(_disclosing("seen", every)), "pairs")
     if not pairs.limit(1).count():
         return None
 
@@ -190,7 +204,7 @@ def disclosing_terms(docs: DataFrame) -> DataFrame | None:
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["term", "text"])
 
     counts = texts.mapInArrow(holding, "term string, text long").distinct().groupBy("term").agg(F.count("*").alias("texts"))
-    found = stored(pairs.join(counts, "term").filter(disclosing("texts")).select("term").distinct().join(terms, "term"), "disclosing")
+    found = stored(pairs.join(counts, "term").filter(_disclosing("texts", every)).select("term").distinct().join(terms, "term"), "disclosing")
     return found if found.limit(1).count() else None
 
 

@@ -229,6 +229,26 @@ def test_pii_terms_of_a_shared_footer(spark):
         assert cleaned[d] == t.replace("zorblax", "").replace("joe@mail.example.com", "[EMAIL]")
 
 
+@pytest.mark.parametrize("name", ["zorblax", "jo", "李明", "joe42", "q"])
+def test_pii_terms_of_few_texts(spark, name):
+    r = random.Random(14)
+    common = "for all of you and us".split()
+    far = ["w" * 60, "v" * 60, "u" * 60, "t" * 60]
+    texts = [f"{prose(r, 9)} {name} {' '.join(far)} joe@mail.example.com {' '.join(common)}" for _ in range(10)] + [prose(r, 9) for _ in range(20)]
+    texts += [f"{prose(r, 5)} {w}" for w in [*common, *far] for _ in range(11)]
+    docs = frame(spark, texts).repartition(3)
+    cleaned = {x.doc_id: x.text for x in pii.clean(docs).collect()}
+    for d, t in enumerate(texts):
+        assert cleaned[d] == t.replace(f" {name} ", "  ").replace("joe@mail.example.com", "[EMAIL]")
+
+
+def test_pii_free_words():
+    text = "a1 b 12 x@y.z éé _c_ 10.0.0.1x d"
+    spans = pii.base_spans(text)
+    brute = [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W_]+", text) if not m[0].isdecimal() and all(m.end() <= a or m.start() >= z for _, a, z in spans)]
+    assert pii._free_words(text, spans) == brute and [w[0] for w in brute] == ["a1", "b", "éé", "c", "d"]
+
+
 # 8
 def test_licences(spark):
     rows = [
