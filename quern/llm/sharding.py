@@ -5,7 +5,8 @@ linked. Linked rows start in shards by hash; in each round a group counts its ro
 shard, ranks those shards, and takes as many of the first as it needs at least (one, unless it is
 larger than a shard); its rows elsewhere ask to move there. A shard admits movers up to its quota of
 rows: demand is summed in 1024 classes of a hash (small groups are in one class, so they are
-admitted whole), and classes are admitted while they fit. Rounds end when no row moves or
+admitted whole, and before rows of large groups), and classes are admitted while they fit. Small groups that are split leave the shards
+that refused movers: they take another of their shards, or else any with room. Rounds end when no row moves and no other shard refuses, or
 after ``ROUNDS``. Rows without a link, and the few linked ones beyond a quota, then fill up the shards
 exactly. Nothing is ordered in one task: places are counted by hash buckets of about ``BUCKET`` rows,
 and only the buckets' totals are summed in order.
@@ -40,31 +41,38 @@ def _of(values: list[int], index) -> F.Column:
     return F.element_at(F.array(*[F.lit(int(v)) for v in values]), index.cast("int") + 1)
 
 
-def _move(linked: DataFrame, shards: int, quota: int, round_: int) -> tuple[DataFrame, int]:
-    """One round of propagation: rows with new shards, and how many moved."""
+def _move(linked: DataFrame, shards: int, quota: int, round_: int, full: list[int], free: list[int]) -> tuple[DataFrame, int, list[int], list[int]]:
+    """One round of propagation: rows with new shards, how many moved, and the shards that refused some and that have much room; full, free: those of the round before."""
     counts = linked.groupBy(*GROUP, "shard").agg(F.count("*").alias("n"), F.first("k").alias("k"))
-    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy(*GROUP).orderBy(F.desc("n"), F.xxhash64("g", "shard"), "shard")))
-    wanted = ranked.filter(F.col("r") <= F.ceil(F.col("k") / quota)).groupBy(*GROUP).agg(F.sort_array(F.collect_list("shard")).alias("best"))
+    is_small = F.col("k") <= quota // 4
+    avoid = is_small & F.col("shard").isin(full) & (F.col("n") < F.col("k")) if free else F.lit(False)
+    ranked = counts.withColumn("avoid", avoid).withColumn("r", F.row_number().over(Window.partitionBy(*GROUP).orderBy("avoid", F.desc("n"), F.xxhash64("g", "shard"), "shard")))
+    elsewhere = _of(free, F.pmod(F.xxhash64("g", F.lit(round_)), F.lit(len(free)))) if free else F.col("shard")
+    wanted = ranked.filter(F.col("r") <= F.ceil(F.col("k") / quota)).withColumn("shard", F.when(F.col("avoid"), elsewhere).otherwise(F.col("shard"))).groupBy(*GROUP).agg(F.sort_array(F.collect_list("shard")).alias("best"))
     spread = F.xxhash64("rid", F.lit(round_))
     rows = linked.join(wanted, list(GROUP)).withColumn(
         "to", F.when(F.array_contains("best", F.col("shard")), F.col("shard")).otherwise(F.element_at("best", (F.pmod(spread, F.size("best")) + 1).cast("int")))
     )
-    small = F.when(F.col("k") <= quota // 4, F.xxhash64("g", F.lit(round_))).otherwise(spread)
-    rows = stored(rows.drop("best").withColumn("class", F.pmod(small, F.lit(CLASSES)).cast("int")), "moves")
+    half = lambda h: F.pmod(h, F.lit(CLASSES // 2))
+    small = F.when(is_small, half(F.xxhash64("g", F.lit(round_)))).otherwise(half(spread) + CLASSES // 2)
+    rows = stored(rows.drop("best").withColumn("class", small.cast("int")), "moves")
     stay = {r.shard: r.n for r in rows.filter("to = shard").groupBy("shard").agg(F.count("*").alias("n")).collect()}
     demand: dict[int, dict[int, int]] = {}
     for r in rows.filter("to != shard").groupBy("to", "class").agg(F.count("*").alias("n")).collect():  # shards x CLASSES rows at most
         demand.setdefault(r.to, {})[r["class"]] = r.n
-    cut, moved = [0] * shards, 0
+    cut, moved, refused = [0] * shards, 0, []
+    rooms = [quota - stay.get(s, 0) for s in range(shards)]
     for s, by in demand.items():
-        room = quota - stay.get(s, 0)
         for c in range(CLASSES):
             n = by.get(c, 0)
-            if n > room:
+            if n > rooms[s]:
+                refused.append(s)
                 break
-            room, moved, cut[s] = room - n, moved + n, c + 1
+            rooms[s], moved, cut[s] = rooms[s] - n, moved + n, c + 1
+    most = max((r for s, r in enumerate(rooms) if s not in refused), default=0)
+    roomy = [s for s, r in enumerate(rooms) if s not in refused and r > 0 and 2 * r >= most]
     admitted = F.col("class") < _of(cut, F.col("to"))
-    return rows.withColumn("shard", F.when(admitted, F.col("to")).otherwise(F.col("shard"))).drop("to", "class"), moved
+    return rows.withColumn("shard", F.when(admitted, F.col("to")).otherwise(F.col("shard"))).drop("to", "class"), moved, sorted(refused), roomy
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -79,9 +87,12 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = stored(base.join(groups, list(GROUP), "left").withColumn("k", F.coalesce("k", F.lit(1).cast("long"))), "groups")
     want = [total // shards + (s < total % shards) for s in range(shards)]
     linked = rows.filter("k > 1").withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int"))
+    full: list[int] = []
+    free: list[int] = []
     for i in range(ROUNDS):
-        linked, moved = _move(linked, shards, max(1, total // shards), i)
-        if not moved:
+        before = full
+        linked, moved, full, free = _move(linked, shards, max(1, total // shards), i, full, free)
+        if not moved and (full == before or not free):
             break
     linked = stored(linked, "linked")
     # a shard keeps its linked rows up to its size; the others join the unlinked rows

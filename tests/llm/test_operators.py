@@ -56,6 +56,15 @@ def test_sharding_keeps_groups_together(spark):
     assert sum(len(s) == 1 for s in where.values()) >= 85
 
 
+def test_sharding_keeps_small_groups_beside_a_hot_one(spark):
+    texts = ["hot"] * 4000 + [f"pair {i // 2}" for i in range(2000)] + [f"single {i}" for i in range(6000)]
+    where = {}
+    for x in sharding.shard(frame(spark, texts)).collect():
+        if 4000 <= x.doc_id < 6000:
+            where.setdefault(x.doc_id // 2, set()).add(x.shard)
+    assert len(where) == 1000 and sum(len(s) > 1 for s in where.values()) <= 10
+
+
 # 2 and 6
 def labelled(spark, n=700):
     r = random.Random(2)
