@@ -18,16 +18,21 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, text, label, fold) of at most ``rows`` labelled rows that are not held out.
 
-    Conflicting labels of one doc_id count as their maximum. The ids are few by ``rows``, so
-    they are broadcast; repeated documents of a sampled id are all returned.
+    Conflicting labels of one doc_id count as their maximum; of several texts of one doc_id, the one with the least hash is taken.
+    The ids are few by ``rows``, so they are broadcast. The rows of each label go to folds 0 and 1 by turns, in the order of a hash
+    of doc_id, so both folds have both labels as soon as there are two rows of each, whatever the ids are.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")  # labels of no document teach nothing
     order = F.xxhash64("doc_id", F.lit(label))
-    drawn = known.orderBy(order, "doc_id").limit(rows).collect()
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(r.doc_id, r.label, int(r.doc_id) * 2654435761 % 65536 % 2) for r in drawn], "doc_id long, label int, fold int")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    turn, drawn = [0, 0], []
+    for r in known.orderBy(order, "doc_id").limit(rows).collect():
+        drawn.append((r.doc_id, r.label, turn[r.label] % 2))
+        turn[r.label] += 1
+    ids = docs.sparkSession.createDataFrame(drawn, "doc_id long, label int, fold int")
+    return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label", "fold").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "label", "fold")
 
 
 class Isotonic:

@@ -37,7 +37,10 @@ NEAR, WINDOW = 5, 50
 UNDO = str.maketrans("013457@$!|", "oieastasil")
 
 _word = re.compile(r"[^\W\d_]+")
-_mixed = re.compile(r"(?<![\w@$!|*])(?=[a-z0-9@$!|*._-]*[a-z])(?=[a-z0-9@$!|*._-]*[0-9@$!|*._-][a-z0-9@$!|*])[a-z0-9@$!|*][a-z0-9@$!|*._-]{2,30}")
+#: A whole run of letters, digits and signs that has one of the latter; each place is read once, whatever the run's length.
+_run = re.compile(r"(?<![\w@$!|*.-])[a-z]*+[0-9@$!|*._-][a-z0-9@$!|*._-]*+")
+_inside = re.compile(r"[0-9@$!|*._-][a-z0-9@$!|*]")
+_letter = re.compile("[a-z]")
 _upper, _punct = bytes(range(65, 91)), b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 N_FEATURES = 16
 
@@ -57,6 +60,14 @@ class Lexicon:
         return 2 if own & self.strong else 1 if own & self.soft else 0
 
 
+def obfuscated(low: str) -> Iterator[str]:
+    """Words of 3 to 31 signs that mix letters with digits or signs, full stops and dashes at their ends aside."""
+    for run in _run.findall(low):
+        word = run.strip("._-")
+        if 3 <= len(word) <= 31 and _letter.search(word) and _inside.search(word):
+            yield word
+
+
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     text = text or ""
     data, low = text.encode("utf-8", "replace"), text.lower()
@@ -67,7 +78,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     kinds = [(i, lexicon.kind(words[i])) for i in near_lexicon]
     strong, soft = [i for i, k in kinds if k == 2], [i for i, k in kinds if k == 1]
     undone = mixed = 0
-    for m in _mixed.findall(low):
+    for m in obfuscated(low):
         mixed += 1
         plain = re.sub("[*._-]", "", m.translate(UNDO))
         undone += plain in INSULTS or lexicon.kind(plain) == 2
