@@ -2,14 +2,14 @@
 
 Two zstandard dictionaries are trained from labelled texts. A text is cut into blocks of a
 fixed size, all of which are compressed alone with either dictionary, so that a dictionary
-matters alike in short and in long texts. The difference of both sizes over their sum, adjusted for how much the
-text repeats itself (its size as one frame against its blocks), is calibrated to the chance of
-label 1 by isotonic regression. Fitting uses a bounded sample (``learning.SAMPLE_ROWS`` rows,
+matters alike in short and in long texts. The difference of both sizes, normalised by the bytes of the text, is
+calibrated to the chance of label 1 by isotonic regression; nothing else enters the score. (Normalised by the
+compressed sizes instead, texts of one word repeated would stand out by chance alone.) Fitting uses a bounded sample (``learning.SAMPLE_ROWS`` rows,
 ``DICTIONARY_BLOCKS`` blocks a label) of labelled rows that are not held out; one half makes
 dictionaries, the other half calibrates.
 
 Null or empty text has difference 0, and gets the score of that. Null doc_id: not held out. Without enough
-labelled text for a dictionary, every score is the base rate.
+labelled text for two dictionaries, every difference is 0 and every score is the base rate of the labels (0.5 without any).
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.learning import BoostedTrees, Isotonic, held_out, sample
+from quern.llm.learning import Isotonic, held_out, sample
 from quern.llm.textual import batches
 
-BLOCK, LEVEL, DICTIONARY, DICTIONARY_BLOCKS = 2048, 3, 64 << 10, 1500
+BLOCK, LEVEL, DICTIONARY, DICTIONARY_BLOCKS = 1024, 3, 64 << 10, 6000
+#: Bytes added to a text's own, so that a few words do not weigh like a page.
+EXTRA = 64
 #: Below this score a document counts as rejected.
 KEEP = 0.3
 
@@ -37,8 +39,8 @@ def blocks(data: bytes) -> list[bytes]:
 class QualityModel:
     """Picklable: dictionaries are bytes, compressors are made where they are used."""
 
-    def __init__(self, good: bytes, bad: bytes, trees: BoostedTrees | None = None, calibration: Isotonic | None = None):
-        self.good, self.bad, self.trees, self.calibration = good, bad, trees, calibration
+    def __init__(self, good: bytes, bad: bytes, calibration: Isotonic | None = None):
+        self.good, self.bad, self.calibration = good, bad, calibration
         self._made = None
 
     def __getstate__(self):
@@ -46,31 +48,23 @@ class QualityModel:
 
     def _compressors(self):
         if self._made is None:
-            made = []
+            self._made = []
             for d in (self.good, self.bad):
-                z = zstandard.ZstdCompressionDict(d) if d else None
-                if z:
-                    z.precompute_compress(LEVEL)
-                made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=z, write_content_size=False, write_dict_id=False, write_checksum=False))
-            made.append(zstandard.ZstdCompressor(level=1, write_content_size=False))
-            self._made = made
+                z = zstandard.ZstdCompressionDict(d)
+                z.precompute_compress(LEVEL)
+                self._made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=z, write_content_size=False, write_dict_id=False, write_checksum=False))
         return self._made
 
-    def measure(self, text: str | None) -> list[float]:
-        """Normalised size difference (bad less good), and the sizes a byte of blocks and of the whole."""
+    def measure(self, text: str | None) -> float:
+        """Size with the bad dictionary less size with the good one, over the bytes of the text and ``EXTRA``."""
         data = (text or "").encode("utf-8", "replace")
-        if not data:
-            return [0.0, 1.0, 1.0]
-        good, bad, plain = self._compressors()
-        a = b = 0
-        for x in blocks(data):
-            a += len(good.compress(x))
-            b += len(bad.compress(x))
-        return [(b - a) / (a + b), min(a, b) / len(data), len(plain.compress(data)) / len(data)]
+        if not data or not self.good or not self.bad:
+            return 0.0
+        good, bad = self._compressors()
+        return sum(len(bad.compress(x)) - len(good.compress(x)) for x in blocks(data)) / (len(data) + EXTRA)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([self.measure(t) for t in texts]).reshape(-1, 3)
-        return self.calibration(self.trees.margin(x))
+        return self.calibration(np.array([self.measure(t) for t in texts], float))
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
@@ -96,14 +90,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> QualityMo
 
     def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            x = [model.measure(t) for t in b["text"].to_pylist()]
-            yield pa.record_batch([b["label"], pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
-
-    got = sorted((tuple(r.x), r.label) for r in rows.filter("fold = 1").mapInArrow(measure, "label int, x array<double>").collect())
-    x, y = np.array([g[0] for g in got]).reshape(-1, 3), np.array([g[1] for g in got], float)
-    odd = np.arange(len(y)) % 2 == 1  # one half joins the three sizes to one number, the other half calibrates it
-    model.trees = BoostedTrees(rounds=40, depth=2).fit(x[~odd], y[~odd])
-    model.calibration = Isotonic(model.trees.margin(x[odd]), y[odd])
+            yield pa.record_batch([b["label"], pa.array([model.measure(t) for t in b["text"].to_pylist()], pa.float64())], ["label", "x"])
+
+    got = sorted((r.x, r.label) for r in rows.filter("fold = 1").mapInArrow(measure, "label int, x double").collect())
+    model.calibration = Isotonic(np.array([g[0] for g in got]), np.array([g[1] for g in got], float))
     return model
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, hnsw, licenses, packing, pii, quality, sharding, toxicity, warc
+from quern.llm import decontaminate, hnsw, learning, licenses, packing, pii, quality, sharding, toxicity, warc
 from quern.llm.queries import vocabulary_path
 from quern.llm.tokens import Encoder
 
@@ -98,6 +98,34 @@ def test_classifiers(spark, op, label, threshold):
     assert len(truth) > 80 and np.mean([a == b for a, b in truth]) > 0.95
 
 
+@pytest.mark.parametrize("op,label,threshold", [(toxicity, "toxic", 0.5), (quality, "quality", 0.3)])
+@pytest.mark.parametrize("odd", [0, 1])
+def test_classifiers_learn_from_even_or_odd_ids_alone(spark, op, label, threshold, odd):
+    docs, labels = labelled(spark, 900)
+    got = check_scores(op.score(docs, op.fit(docs, labels.filter(F.col("doc_id") % 2 == odd))), threshold)
+    truth = [(got[x.doc_id].predicted, x[label]) for x in labels.filter(f"doc_id is not null and {label} is not null").collect() if got[x.doc_id].held_out]
+    assert np.mean([a == b for a, b in truth]) > 0.93
+
+
+def test_sample_folds_and_repeated_ids(spark):
+    docs = frame(spark, [f"text {i}" for i in range(40)]).union(frame(spark, [f"other {i}" for i in range(40)]))
+    labels = spark.createDataFrame([(i, int(i < 5)) for i in range(40)] + [(77, 1)], "doc_id long, quality int")
+    rows = learning.sample(docs, labels, "quality").collect()
+    known = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(x.doc_id for x in rows) == known
+    for y in (0, 1):
+        folds = [x.fold for x in rows if x.label == y]
+        assert abs(2 * sum(folds) - len(folds)) <= 1
+    assert len(learning.sample(docs, labels, "quality", 7).collect()) == 7
+
+
+def test_toxicity_of_very_long_texts():
+    lexicon = toxicity.Lexicon(frozenset(["grobz"]))
+    for part in ("-", "1.", "a.", "a", "a1", "@ ", "you idiot "):
+        assert len(toxicity.features(part * (5_000_000 // len(part)), lexicon)) == toxicity.N_FEATURES
+    assert list(toxicity.obfuscated("an 1d10t, m@ron. é1a x2 f.o.o. a1 well-known 1a" + "b" * 40 + " end.")) == ["1d10t", "m@ron", "f.o.o", "well-known"]
+
+
 @pytest.mark.parametrize("op", [toxicity, quality])
 def test_classifiers_without_labels(spark, op):
     docs = frame(spark, ODD)
