@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.storage import stored
+from quern.storage import scratch, stored
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, comp) for every node of ``links`` (a, b); comp is the smallest node of its component.
+@scratch()
+def components(links: DataFrame, order: DataFrame) -> DataFrame:
+    """Stored (node, comp) for every node of ``links`` (a, b); comp is the struct (rank, node) of its component's first node.
 
+    order: (node, rank) of every node; nodes come in the order of their rank, then their number.
     Each round a node takes the least label among its neighbours, then the label of that
     label. Rounds end when nothing changes; the number of rounds grows about as the logarithm
     of the longest path. All of it is joins and pre-aggregated groups; hubs are split by AQE.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = stored(both, "links")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), "labels")
+    labels = stored(both.select(F.col("a").alias("node")).distinct().join(order, "node").select("node", F.struct("rank", "node").alias("comp")), "labels")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         took = labels.join(near, "node").select("node", F.least("comp", "near").alias("took"), F.col("comp").alias("was"))
-        roots = labels.select(F.col("node").alias("took"), F.col("comp").alias("root"))
-        jumped = stored(took.join(roots, "took").select("node", F.least("took", "root").alias("comp"), "was"), "labels")
+        roots = labels.select(F.col("node").alias("root_node"), F.col("comp").alias("root"))
+        jumped = took.join(roots, F.col("took.node") == F.col("root_node")).select("node", F.least("took", "root").alias("comp"), "was")
+        jumped = stored(jumped, "labels")
         changed = jumped.filter("comp != was").limit(1).count()
         labels = jumped.select("node", "comp")
         if not changed:
-            return labels
+            return stored(labels, "components", outlive=True)

@@ -9,12 +9,12 @@ average, so the chance to miss a pair at the threshold is about e^-18 (one in 60
 above it. Below 64 shingles the cells are prefix tokens, which
 miss nothing.
 
-Work stays far from all pairs of a cell. Documents with equal sets are one node. Every node of
-a cell is first compared with the cell's smallest node (a star). Cells whose nodes are then in
+Work stays far from all pairs of a cell. Documents with equal sets are one node. Cells of the same
+nodes count once. Every node of a cell is first compared with the cell's smallest node (a star). Cells whose nodes are then in
 one component need nothing more. In the others, each node outside the largest component is held
 against all nodes of other components by bitmaps of 8 to 16 bits a shingle, whose counts bound
 the overlap from above; only pairs that may reach the threshold are intersected exactly.
-The first two rounds take, of each tile, a forest of the most promising pairs between components, the last
+The first round takes, of each tile, a forest of the most promising pairs between components, the last
 one all pairs that are still apart, so components are those of all links.
 
 Null or wordless text: no shingles, linked with nothing. Rows without doc_id take part, but
@@ -29,20 +29,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quern.llm.filters import BitFilter
 from quern.llm.graphs import components
 from quern.llm.textual import batch_shingles, batches, mix
-from quern.storage import stored
+from quern.storage import scratch, stored
 
 MEET = 18.0
 #: Documents of fewer shingles use prefix tokens.
 SMALL = 64
-#: Postings that a map task holds before it sends them on, and that a bucket gets on average.
-HELD, BUCKET = 1_000_000, 1_000_000
+#: Postings that a map task holds before it sends them on, and the bytes of text whose postings a bucket gets on average (a word makes less than one posting of 16 bytes).
+HELD, BUCKET = 1_000_000, 16 << 20
 #: Nodes of a tile's side.
 BLOCK = 1024
+#: Whether a round takes forests of pairs; the last one takes all.
+ROUNDS = (True, False)
 
 
 @functools.cache
@@ -96,28 +101,31 @@ def node_of(s: np.ndarray) -> int:
         return int(mix(total + np.uint64(len(s)) * np.uint64(0xD6E8FEB86659FD93)).view("i8")[0])
 
 
-FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bitmap", pa.binary()), ("cells", pa.int64())])
+FEATURES = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bitmap", pa.binary()), ("text", pa.string())])
 
 
-def _features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _features(it: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Every row's set; the first row of a task whose set may be in a cell with others also carries its text and bitmap."""
+    seen: set[int] = set()
     for batch in it:
         sets = batch_shingles(batch["text"])
-        cells = [sum(parts(b) if 2 ** (b + 1) > SMALL else len(s) // 5 + 1 for b in tiles(len(s))) if len(s) else 0 for s in sets]
-        columns = [batch["doc_id"], [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets], [bitmap(s) if len(s) else None for s in sets], cells]
+        nodes = np.array([node_of(s) if len(s) else 0 for s in sets], "i8")
+        own = []
+        for k, (v, may) in enumerate(zip(nodes.tolist(), shared.value.may_have(nodes).tolist(), strict=True)):
+            new = may and len(sets[k]) > 0 and v not in seen
+            own.append(new)
+            if new:
+                seen.add(v)
+        if len(seen) > HELD:
+            seen = set()
+        rows = pa.array([k if keep else None for k, keep in enumerate(own)], pa.int64())
+        columns = [
+            batch["doc_id"], batch["h"], [len(s) for s in sets], [v if len(s) else None for v, s in zip(nodes.tolist(), sets, strict=True)],
+            [bitmap(s) if keep else None for s, keep in zip(sets, own, strict=True)], batch["text"].take(rows),
+        ]
         yield pa.record_batch([pa.array(c, t.type) if isinstance(c, list) else c for c, t in zip(columns, FEATURES, strict=True)], schema=FEATURES)
 
 
-NODES = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("bitmap", pa.binary()), ("text", pa.string())])
-
-
-def _nodes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        sets = batch_shingles(batch["text"])
-        rows = [k for k, s in enumerate(sets) if len(s)]
-        columns = [[node_of(sets[k]) for k in rows], [len(sets[k]) for k in rows], [bitmap(sets[k]) for k in rows], batch["text"].take(pa.array(rows, pa.int64()))]
-        yield pa.record_batch([pa.array(c, t.type) if isinstance(c, list) else c for c, t in zip(columns, NODES, strict=True)], schema=NODES)
-
-
 PACKED = pa.schema([("bucket", pa.int32()), ("meeting", pa.bool_()), ("cells", pa.binary()), ("nodes", pa.binary())])
 
 
@@ -263,7 +271,7 @@ def _tile(table: pa.Table, forest: bool) -> pa.Table:
     change = np.any([k[order][1:] != k[order][:-1] for k in key], axis=0) if len(order) else np.zeros(0, bool)
     done = [np.zeros((0, 2), "i8")]
     for own in np.split(order, np.flatnonzero(change) + 1):
-        left, right = own[role[own] == 0], own[role[own] == 1]
+        left, right = own[role[own] != 1], own[role[own] != 0]
         if not len(left) or not len(right):
             continue
         raw = {k: np.frombuffer(maps[int(k)].as_buffer(), "u8") for k in own.tolist()}
@@ -293,7 +301,7 @@ def _linked_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _apart(members: DataFrame, comp: DataFrame, nodes: DataFrame, forest: bool) -> DataFrame:
     """Pairs of nodes that share a cell, are in different components, and may be linked."""
     spark = members.sparkSession
-    m = members.join(comp, "node", "left").select("cell", "node", F.coalesce("comp", "node").alias("comp"))
+    m = members.join(comp.select("node", F.col("comp.node").alias("comp")), "node", "left").select("cell", "node", F.coalesce("comp", "node").alias("comp"))
     m = stored(m, "cells")
     # the component of the most nodes of a cell; counts are made before rows meet
     sizes = m.groupBy("cell", "comp").agg(F.count("*").alias("k"))
@@ -301,8 +309,11 @@ def _apart(members: DataFrame, comp: DataFrame, nodes: DataFrame, forest: bool)
     info = info.filter("comps > 1").select("cell", F.col("top.comp").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("mb"), F.ceil((F.col("all") - F.col("top.k")) / BLOCK).cast("int").alias("rb"))
     m = stored(m.join(info, "cell"), "mixed")
     spread = lambda seed, of: F.pmod(F.hash("node", F.lit(seed)), F.col(of))
-    member = m.select("cell", "node", "comp", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("i"), spread(1, "mb").alias("j"))
-    rest = m.filter("comp != main").select("cell", "node", "comp", F.lit(0).alias("role"), spread(2, "rb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j"))
+    # a cell of one tile gets each node once, for both sides
+    single = F.col("mb") * F.col("rb") == 1
+    role = F.when(single & (F.col("comp") != F.col("main")), 2).otherwise(1)
+    member = m.select("cell", "node", "comp", role.alias("role"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("i"), spread(1, "mb").alias("j"))
+    rest = m.filter((F.col("comp") != F.col("main")) & ~single).select("cell", "node", "comp", F.lit(0).alias("role"), spread(2, "rb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j"))
     rows = member.union(rest).join(nodes.select("node", "n", "bitmap"), "node")
     total = m.count()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 20_000)
@@ -310,35 +321,88 @@ def _apart(members: DataFrame, comp: DataFrame, nodes: DataFrame, forest: bool)
     return rows.groupBy("bucket").applyInArrow(lambda t: _tile(t, forest), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text); see the module."""
+def _members(docs: DataFrame) -> DataFrame:
+    """Stored (cell, node) of the cells with several nodes; of cells with the same nodes, one."""
     spark = docs.sparkSession
-    batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    features = stored(docs.mapInArrow(_features, "doc_id long, n_shingles long, node long, bitmap binary, cells long"), "features")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(width, math.ceil((features.agg(F.sum("cells")).first()[0] or 0) / BUCKET))
+    buckets = max(width, math.ceil((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BUCKET))
     packed = docs.select("text").mapInArrow(functools.partial(_postings, buckets=buckets), "bucket int, meeting boolean, cells binary, nodes binary")
-    members = stored(packed.groupBy("bucket").applyInArrow(lambda t: _meet(t), "cell long, node long").distinct(), "members")
-
-    whole = features.filter("node is not null")
-    classes = whole.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    involved = members.select("node").distinct().join(classes, "node")
-    # a doc_id may be null, or stand by several texts, so the set of each text is made anew
-    reps = involved.select("rep").distinct()
-    texts = docs.join(reps, docs.doc_id.eqNullSafe(reps.rep), "left_semi").select("text").mapInArrow(_nodes, "node long, n long, bitmap binary, text string")
-    nodes = stored(texts.join(involved.select("node"), "node", "left_semi").dropDuplicates(["node"]), "nodes")
-
-    star = members.join(members.groupBy("cell").agg(F.min("node").alias("centre")), "cell").filter("node != centre")
-    links = stored(_linked_pairs(star.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), nodes), "stars")
-    comp = components(links)
-    for forest in (True, True, False):
+    every = stored(packed.groupBy("bucket").applyInArrow(lambda t: _meet(t), "cell long, node long").distinct(), "members")
+    # two 64-bit sums, the count and the least tell sets of nodes apart
+    alike = every.groupBy("cell").agg(F.count("*").alias("k"), F.min("node").alias("centre"), *[F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(20,0)")).alias(f"s{i}") for i in (1, 2)])
+    cells = alike.filter("k > 1").groupBy("k", "centre", "s1", "s2").agg(F.min("cell").alias("cell")).select("cell", "centre")
+    return stored(every.join(cells, "cell"), "cells", outlive=True)
+
+
+@scratch()
+def _rows(docs: DataFrame) -> DataFrame:
+    """Stored (doc_id, h, n_shingles, first) for every row of ``docs`` (doc_id, h, text).
+
+    first: (none, doc_id, h) of the least row of the row's component, those without doc_id last; null for texts without words.
+    """
+    spark = docs.sparkSession
+    members = _members(docs)
+    involved = stored(members.select("node").distinct(), "involved")
+    shared = spark.sparkContext.broadcast(BitFilter.of(involved, "node"))
+    features = stored(docs.select("doc_id", "h", "text").mapInArrow(lambda it: _features(it, shared), "doc_id long, h long, n_shingles long, node long, bitmap binary, text string"), "features")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    classes = stored(features.filter("node is not null").groupBy("node").agg(F.min(rank).alias("rank")), "classes")
+    carried = features.filter("text is not null").select("node", F.col("n_shingles").alias("n"), "bitmap", "text")
+    nodes = stored(carried.join(involved, "node", "left_semi").dropDuplicates(["node"]), "nodes")
+
+    star = members.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    links = stored(_linked_pairs(star, nodes), "stars")
+    comp = components(links, classes)
+    for forest in ROUNDS:
         found = stored(_apart(members, comp, nodes, forest).distinct(), "pairs")
         if not found.limit(1).count():
             break
         links = stored(links.union(_linked_pairs(found, nodes)), "links")
-        comp = components(links)
-    named = classes.join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    by_node = named.join(least, "comp").select("node", "component_id")
-    return features.join(by_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        comp = components(links, classes)
+    by_node = stored(classes.join(comp, "node", "left").select("node", F.coalesce("comp.rank", "rank").alias("first")), "firsts")
+    return stored(features.select("doc_id", "h", "n_shingles", "node").join(by_node, "node", "left").drop("node"), "rows", outlive=True)
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text); see the module."""
+    batches(docs.sparkSession)
+    text = F.col("text").cast("string")
+    rows = _rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")))
+    return rows.select("doc_id", "n_shingles", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
+
+
+@scratch()
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """One row of each component of ``docs``, all columns: one with the smallest doc_id (null last); all rows without words.
+
+    Rows are told apart by doc_id and text, as a doc_id may be null, repeated, or stand by several texts; of rows that are alike
+    in both, any one stays. Rows that a bit filter shows to be neither dropped nor repeated stay where they are; only the others
+    are shuffled, after rows that are alike were put together in each task.
+    """
+    spark, schema, names = docs.sparkSession, docs.schema, docs.columns
+    batches(spark)
+    doc_id, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
+    rows = _rows(docs.select(doc_id.alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))).filter("first is not null")
+    key = lambda d, h: (F.coalesce(d, F.lit(0)).alias("d"), d.isNull().alias("none"), h.alias("h"))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    groups = rows.select(*key(F.col("doc_id"), F.col("h")), (own != F.col("first")).alias("drop")).groupBy("d", "none", "h").agg(F.max("drop").alias("drop"), F.count("*").alias("n"))
+    special = stored(groups.filter("drop or n > 1").select("d", "none", "h", "drop", F.xxhash64("d", "none", "h").alias("key")), "special", outlive=True)
+    shared = spark.sparkContext.broadcast(BitFilter.of(special, "key"))
+    d, none, h = key(doc_id, F.xxhash64(text))
+    wordless = F.coalesce(~text.rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    keyed = docs.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(names)], F.when(~wordless, F.xxhash64(d, none, h)).alias("key"))
+    plain = T.StructType([T.StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(schema)])
+
+    def chosen(it: Iterator[pa.RecordBatch], special: bool) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            has = b["key"].is_valid().to_numpy(zero_copy_only=False)
+            may = has & shared.value.may_have(b["key"].fill_null(0).to_numpy())
+            yield b.select(plain.names).filter(pa.array(may == special))
+
+    stay = keyed.mapInArrow(lambda it: chosen(it, False), plain)
+    others = keyed.mapInArrow(lambda it: chosen(it, True), plain)
+    place = {c: f"c{k}" for k, c in enumerate(names)}
+    own_id, own_text = F.col(place["doc_id"]).cast("long"), F.col(place["text"]).cast("string")
+    once = others.select(*key(own_id, F.xxhash64(own_text)), F.struct("*").alias("row")).groupBy("d", "none", "h").agg(F.first("row").alias("row"))
+    left = once.join(special.filter("drop").select("d", "none", "h"), ["d", "none", "h"], "left_anti").select("row.*")
+    return stay.union(left).toDF(*names)
