@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.textual import WIDTH, batch_shingles, batches, combine, mix, shingles, text_bytes, word_hashes
-from quern.storage import stored
+from quern.storage import scratch, stored
 
 SHARE = 80
 BLOCK = 1_000_000
@@ -95,22 +96,27 @@ def _item_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b["item_id"], pa.array(width, pa.int32()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["item_id", "width", "n", "shingles"])
 
 
+def _blocks(spark: SparkSession, benchmark: DataFrame) -> list[Broadcast]:
+    """The items in blocks of about ``BLOCK`` shingles, each sent to the executors."""
+    with scratch():
+        items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+        items = stored(items.mapInArrow(_item_rows, "item_id long, width int, n long, shingles binary").filter("n > 0").distinct(), "items")
+        total = items.agg(F.sum("n")).first()[0] or 0
+        count, out = max(1, math.ceil(total / BLOCK)), []
+        for k in range(count):
+            own = items.filter(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(count)) == k).orderBy("item_id", "n").collect()
+            out.append(spark.sparkContext.broadcast(Items([(r.item_id, r.width, bytes(r.shingles)) for r in own])))
+    return out
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, shared, n_shingles) for each contained item of each document."""
     spark = docs.sparkSession
     batches(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = stored(items.mapInArrow(_item_rows, "item_id long, width int, n long, shingles binary").filter("n > 0").distinct(), "items")
-    total = items.agg(F.sum("n")).first()[0] or 0
-    count = max(1, math.ceil(total / BLOCK))
     docs, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), None
-    for k in range(count):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(count)) == k).orderBy("item_id", "n").collect()
-        if not own and out is not None:
-            continue
-        shared_block = spark.sparkContext.broadcast(Items([(r.item_id, r.width, bytes(r.shingles)) for r in own]))
+    for block in _blocks(spark, benchmark):
 
-        def search(it: Iterator[pa.RecordBatch], block=shared_block) -> Iterator[pa.RecordBatch]:
+        def search(it: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             x = block.value
             for b in it:
                 hits = x.search(b["text"])
@@ -125,7 +131,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that contain no item. Each row is judged by its own text: a doc_id may be null, or stand by several texts."""
-    rows = stored(docs.withColumn("rid", F.monotonically_increasing_id()), "rows")
-    found = leaks(rows.select(F.col("rid").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("rid")).distinct()
-    return rows.join(found, "rid", "left_anti").select(*docs.columns)
+    """The rows of ``docs``, all columns, that contain no item: one filter a block of items, and no shuffle.
+
+    Each row is judged by its own text, so a doc_id may be null, or stand by several texts.
+    """
+    spark, schema = docs.sparkSession, docs.schema
+    batches(spark)
+    for block in _blocks(spark, benchmark):
+
+        def kept(it: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                own = np.ones(b.num_rows, bool)
+                own[[row for row, _, _ in block.value.search(b["text"])]] = False
+                yield b.filter(pa.array(own))
+
+        docs = docs.mapInArrow(kept, schema)
+    return docs
