@@ -9,10 +9,12 @@ of at least ``DISCLOSURE`` and at least ``BITS`` bits, or where the entity itsel
 tell it (so that small corpora and frequent entities have disclosing terms too) are spans of kind ``term`` wherever they stand. In texts, patterns
 are generalised to their kind and terms are removed.
 
-Counts cover all documents. Terms are joined, not broadcast; only a bit filter of fixed size goes
-to every task, to tell which words may be such terms.
+Counts cover all documents. Up to ``SENT`` terms (and ``SENT_BYTES`` of them) are sent to the tasks, which then find
+and rewrite spans in one pass without a shuffle. More terms stay a table: a bit filter, sized by
+their number, tells the tasks which words may be terms, those words are joined with the terms, and
+texts get the places by a join on the text.
 
-Null text is empty: no spans. Null and repeated doc_ids are rows like others.
+Null text is empty: no spans. Null and repeated doc_ids are rows like others, and columns may have any other names.
 """
 
 from __future__ import annotations
@@ -25,15 +27,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.textual import batches
-from quern.storage import stored
+from quern.storage import scratch, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR, SUPPORT, DISCLOSURE, BITS = 5, 3, 0.5, 8.0
-PART, FILTER_BITS = 0.5, 20
+PART = 0.5
+#: Terms, and their UTF-8 bytes, that are sent to every task; bits of the filter for more: 8 a term, between these powers of two.
+SENT, SENT_BYTES, FILTER_BITS = 500_000, 16 << 20, (20, 28)
 
 Span = tuple[str, int, int]
 
@@ -93,7 +98,7 @@ def base_spans(text: str) -> list[Span]:
                 out.append(("card", *m.span()))
         if "+" in text:
             out += [("phone", *m.span()) for m in _phone.finditer(text) if 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15]
-    return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
+    return _order(out)
 
 
 def joined(spans: list[Span]) -> str:
@@ -150,24 +155,45 @@ def _contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2))], ["term", "entity", "text"])
 
 
-def _bit_filter(terms: DataFrame) -> np.ndarray:
-    """Which of 2**FILTER_BITS classes of words hold a term: a table of fixed size, whatever the number of terms."""
-    classes = terms.select(F.pmod(F.col("key"), F.lit(1 << FILTER_BITS)).cast("int").alias("c")).distinct()
-    out = np.zeros(1 << FILTER_BITS, bool)
-    for r in classes.toLocalIterator():
-        out[r.c] = True
-    return out
-
-
-def _known(text: str, table: np.ndarray) -> set[str]:
-    """The distinct words of ``text``, as written, that may be terms."""
-    return {w for w in set(_word.findall(text)) if table[_key(w.lower()) % len(table)]}
-
-
-def _words_in(text: str, table: np.ndarray) -> list[tuple[str, int, int]]:
-    """(word, start, end) of the words that may be terms; places are sought only in texts that have such words."""
-    known = _known(text, table)
-    return [(m[0].lower(), *m.span()) for m in _word.finditer(text) if m[0] in known] if known else []
+class Terms:
+    """The set of terms itself, or a bit filter that lets all of them (and few other words) through."""
+
+    def __init__(self, table: DataFrame):
+        size = table.agg(F.count("*").alias("n"), F.sum(F.octet_length("term")).alias("size")).first()
+        self.exact = size["n"] <= SENT and (size["size"] or 0) <= SENT_BYTES
+        if self.exact:
+            self.words = frozenset(r.term for r in table.select("term").collect())
+            return
+        low, high = FILTER_BITS
+        bits = min(high, max(low, (8 * size["n"]).bit_length()))
+        self.table = np.zeros(1 << bits, bool)
+        for r in table.select(F.pmod(F.col("key"), F.lit(1 << bits)).alias("c")).distinct().toLocalIterator():
+            self.table[r.c] = True
+        self.table = np.packbits(self.table, bitorder="little")
+
+    def has(self, word: str) -> bool:
+        if self.exact:
+            return word in self.words
+        k = _key(word) % (8 * len(self.table))
+        return bool(self.table[k >> 3] >> (k & 7) & 1)
+
+    def known(self, text: str) -> set[str]:
+        """The distinct words of ``text``, as written, that are (or may be) terms."""
+        return {w for w in set(_word.findall(text)) if self.has(w.lower())}
+
+    def places(self, text: str, spans: list[Span]) -> list[tuple[str, int, int]]:
+        """(word, start, end) of those words where no span is; places are sought only in texts that have any."""
+        known = self.known(text)
+        out, k, to = [], 0, 0
+        for m in _word.finditer(text) if known else ():
+            if m[0] not in known:
+                continue
+            while k < len(spans) and spans[k][1] < m.end():
+                to = max(to, spans[k][2])
+                k += 1
+            if to <= m.start():
+                out.append((m[0].lower(), *m.span()))
+        return out
 
 
 def _disclosing(texts: str, every: int) -> Column:
@@ -177,6 +203,7 @@ def _disclosing(texts: str, every: int) -> Column:
     return (share >= DISCLOSURE) & (bits > 0) & (bits >= F.least(F.lit(BITS), rarity * PART))
 
 
+@scratch()
 def disclosing_terms(docs: DataFrame) -> DataFrame | None:
     """Stored (term, key) of the terms that disclose an entity; None if there are none."""
     batches(docs.sparkSession)
@@ -196,102 +223,124 @@ def disclosing_terms(docs: DataFrame) -> DataFrame | None:
             yield pa.record_batch([b["term"], pa.array([_key(t) for t in b["term"].to_pylist()], pa.int64())], ["term", "key"])
 
     terms = stored(pairs.select("term").distinct().mapInArrow(keyed, "term string, key long"), "terms")
-    shared = docs.sparkSession.sparkContext.broadcast(_bit_filter(terms))
+    shared = docs.sparkSession.sparkContext.broadcast(Terms(terms))
 
     def holding(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows = [(w, _key(t)) for t in b["text"].to_pylist() if t for w in {x.lower() for x in _known(t, shared.value)}]
+            rows = [(w, _key(t)) for t in b["text"].to_pylist() if t for w in {x.lower() for x in shared.value.known(t)}]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["term", "text"])
 
     counts = texts.mapInArrow(holding, "term string, text long").distinct().groupBy("term").agg(F.count("*").alias("texts"))
-    found = stored(pairs.join(counts, "term").filter(_disclosing("texts", every)).select("term").distinct().join(terms, "term"), "disclosing")
+    found = pairs.join(counts, "term").filter(_disclosing("texts", every)).select("term").distinct().join(terms, "term")
+    found = stored(found, "disclosing", outlive=True)
     return found if found.limit(1).count() else None
 
 
-FOUND = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS[:4]], ("base", pa.string()), ("base_sha256", pa.string()), ("words", pa.list_(pa.string()))])
+def _order(spans: list[Span]) -> list[Span]:
+    return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def _find(it: Iterator[pa.RecordBatch], table: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    for b in it:
-        out = [[] for _ in FOUND]
-        for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-            spans = base_spans(text or "")
-            base = joined(spans)
-            kinds = [s[0] for s in spans]
-            words = [f"{w}:{a}:{z}" for w, a, z in _words_in(text, table) if all(z <= s or a >= e for _, s, e in spans)] if text and table is not None else []
-            for c, v in zip(out, (doc_id, *(kinds.count(k) for k in KINDS[:4]), base, hashlib.sha256(base.encode()).hexdigest(), words), strict=True):
-                c.append(v)
-        yield pa.record_batch([pa.array(c, t.type) for c, t in zip(out, FOUND, strict=True)], schema=FOUND)
+def _with_terms(base: list[Span], text: str, terms: Terms | None) -> list[Span]:
+    """``base`` and the places of terms, where these are known here."""
+    return _order(base + [("term", a, z) for _, a, z in terms.places(text, base)]) if terms is not None and terms.exact else base
+
 
+def _spans_by_text(texts: DataFrame, shared: Broadcast, terms: DataFrame) -> DataFrame:
+    """(h, size, places) of the texts of ``texts`` (h, size, text) that hold terms, where these are too many to be sent; equal texts once."""
 
-def _term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """(rid, terms): the places of the disclosing terms of each row of ``rows`` (rid, words)."""
-    hits = rows.select("rid", F.explode("words").alias("w")).withColumn("term", F.split("w", ":")[0]).join(terms.select("term"), "term")
-    return hits.groupBy("rid").agg(F.collect_list(F.regexp_replace("w", r"^[^:]*", "term")).alias("terms"))
+    def words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows = []
+            for h, n, t in zip(b["h"].to_pylist(), b["size"].to_pylist(), b["text"].to_pylist(), strict=True):
+                rows += [(h, n, w, a, z) for w, a, z in shared.value.places(t, base_spans(t))] if t else []
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["h", "size", "term", "start", "end"])
 
+    places = texts.mapInArrow(words, "h long, size long, term string, start long, end long").distinct()
+    hits = places.join(terms.select("term"), "term").groupBy("h", "size").agg(F.collect_list(F.struct("start", "end")).alias("places"))
+    return stored(hits, "places", outlive=True)
 
-def _merge(base: str, terms: list[str] | None) -> str:
-    spans = [tuple(x.split(":")) for x in base.split(",") if base] + [tuple(x.split(":")) for x in terms or ()]
-    return joined(sorted(((k, int(a), int(z)) for k, a, z in spans), key=lambda s: (s[1], KINDS.index(s[0]))))
+
+def _identity(text: Column) -> tuple[Column, Column]:
+    """(h, size) that tell texts apart."""
+    return F.xxhash64(text), F.octet_length(text).cast("long")
+
+
+FOUND = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS[:4]], ("base_sha256", pa.string()), ("spans", pa.string()), ("h", pa.int64()), ("size", pa.int64())])
 
 
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row of ``docs``."""
     spark = docs.sparkSession
     batches(spark)
-    terms = disclosing_terms(docs)
-    table = None if terms is None else spark.sparkContext.broadcast(_bit_filter(terms))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ddl = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, words array<string>"
-    found = rows.mapInArrow(lambda it: _find(it, table and table.value), ddl)
-    names = ["doc_id", *[f"n_{k}" for k in KINDS[:4]], "base_sha256"]
-    if terms is None:
-        return found.select(*names, F.col("base").alias("spans"))
-    found = stored(found.withColumn("rid", F.monotonically_increasing_id()), "found")
+    names = FOUND.names[:-2]
+    ddl = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    with scratch():
+        terms = disclosing_terms(docs)
+        shared = None if terms is None else spark.sparkContext.broadcast(Terms(terms))
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        h, size = _identity(F.col("text"))
+        rows = rows.select("doc_id", "text", h.alias("h"), size.alias("size"))
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                out = [[] for _ in FOUND]
+                for doc_id, text, h, n in zip(*(b[c].to_pylist() for c in ("doc_id", "text", "h", "size")), strict=True):
+                    base = base_spans(text or "")
+                    kinds = [s[0] for s in base]
+                    sha = hashlib.sha256(joined(base).encode()).hexdigest()
+                    spans = joined(_with_terms(base, text or "", shared and shared.value))
+                    for c, v in zip(out, (doc_id, *(kinds.count(k) for k in KINDS[:4]), sha, spans, h, n), strict=True):
+                        c.append(v)
+                yield pa.record_batch([pa.array(c, t.type) for c, t in zip(out, FOUND, strict=True)], schema=FOUND)
+
+        found = rows.mapInArrow(run, f"{ddl}, h long, size long")
+        if shared is None or shared.value.exact:
+            return found.select(*names)
+        places = _spans_by_text(rows, shared, terms)
 
     def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            spans = [_merge(x, y) for x, y in zip(b["base"].to_pylist(), b["terms"].to_pylist(), strict=True)]
-            yield pa.record_batch([*(b[c] for c in names), pa.array(spans, pa.string())], [*names, "spans"])
+            out = []
+            for base, own in zip(b["spans"].to_pylist(), b["places"].to_pylist(), strict=True):
+                spans = [(k, int(a), int(z)) for k, a, z in (x.split(":") for x in base.split(",") if x)]
+                out.append(joined(_order(spans + [("term", p["start"], p["end"]) for p in own])) if own else base)
+            yield pa.record_batch([*(b[c] for c in names[:-1]), pa.array(out, pa.string())], names)
 
-    both = found.join(_term_spans(found, terms), "rid", "left").select(*names, "base", "terms")
-    return both.mapInArrow(merge, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return found.join(places, ["h", "size"], "left").select(*names, "places").mapInArrow(merge, ddl)
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """``docs`` with sanitised texts (and n_chars made to fit, if there is such a column)."""
+    """``docs`` with sanitised texts (and n_chars made to fit, if there is such a column); null texts stay null."""
     spark = docs.sparkSession
     batches(spark)
-    terms = disclosing_terms(docs)
     schema, names = docs.schema, docs.columns
     text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    with scratch():
+        terms = disclosing_terms(docs)
+        shared = None if terms is None else spark.sparkContext.broadcast(Terms(terms))
+        places = None
+        if shared is not None and not shared.value.exact:
+            h, size = _identity(F.col("text"))
+            places = _spans_by_text(docs.select(h.alias("h"), size.alias("size"), "text"), shared, terms)
 
     def rewrite(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            own = b["text"].to_pylist()
-            more = b["terms"].to_pylist() if "terms" in b.schema.names else [None] * len(own)
+            own = b.column(text).to_pylist()
+            more = b.column(len(names)).to_pylist() if b.num_columns > len(names) else [None] * len(own)
             new = []
             for t, extra in zip(own, more, strict=True):
-                spans = base_spans(t or "") + [("term", int(x.split(":")[1]), int(x.split(":")[2])) for x in extra or ()]
-                new.append(sanitised(t, sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))) if spans else t)
-            columns = [b[c] for c in names]
-            columns[text] = pa.array(new, b["text"].type)
+                spans = _with_terms(base_spans(t or ""), t or "", shared and shared.value)
+                spans = _order(spans + [("term", p["start"], p["end"]) for p in extra]) if extra else spans
+                new.append(sanitised(t, spans) if spans else t)
+            columns = [b.column(k) for k in range(len(names))]
+            columns[text] = pa.array(new, b.column(text).type)
             if chars is not None:
-                columns[chars] = pa.array([n if a == z else len(z) for n, a, z in zip(b["n_chars"].to_pylist(), own, new, strict=True)], b["n_chars"].type)
+                columns[chars] = pa.array([n if a == z else len(z) for n, a, z in zip(b.column(chars).to_pylist(), own, new, strict=True)], b.column(chars).type)
             yield pa.record_batch(columns, names)
 
-    if terms is None:
+    if places is None:
         return docs.mapInArrow(rewrite, schema)
-    rows = stored(docs.withColumn("rid", F.monotonically_increasing_id()), "rows")
-    table = spark.sparkContext.broadcast(_bit_filter(terms))
-
-    def words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            out = []
-            for t in b["text"].to_pylist():
-                spans = base_spans(t or "")
-                out.append([f"{w}:{a}:{z}" for w, a, z in _words_in(t or "", table.value) if all(z <= s or a >= e for _, s, e in spans)])
-            yield pa.record_batch([b["rid"], pa.array(out, pa.list_(pa.string()))], ["rid", "words"])
-
-    hits = _term_spans(rows.select("rid", "text").mapInArrow(words, "rid long, words array<string>"), terms)
-    return rows.join(hits, "rid", "left").drop("rid").mapInArrow(rewrite, schema)
+    h, size = _identity(docs["text"])
+    places = places.toDF("h", "size", "places")
+    both = docs.join(places, (h == places["h"]) & (size == places["size"]), "left").select(*[docs[c] for c in names], places["places"])
+    return both.mapInArrow(rewrite, schema)
