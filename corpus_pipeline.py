@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, ngram_join, packing, pii, quality
 from quern.llm.queries import vocabulary_path
 from quern.sources import parquet_table
-from quern.storage import stored
+from quern.storage import new_folder, remove, scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,25 +16,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near copies: one with the smallest doc_id, null last. A doc_id may be repeated, so rows have ids of their own here."""
-    rows = stored(docs.withColumn("rid", F.monotonically_increasing_id()), "rows")
-    groups = ngram_join.jaccard_components(rows.select(F.col("rid").alias("doc_id"), "text")).select(F.col("doc_id").alias("rid"), "component_id")
-    ranked = rows.select("rid", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid").alias("place")).join(groups, "rid")
-    kept = ranked.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.rid").alias("rid"))
-    return rows.join(kept, "rid", "left_semi").select(*docs.columns)
+    """One row of each component of near copies: one with the smallest doc_id, null last. Rows without words all stay; ids may be repeated."""
+    return ngram_join.drop_copies(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Rows that contain no benchmark item, each judged by its own text: ids may be null or repeated, and null or empty texts stay."""
     return decontaminate.clean(docs, parquet_table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data generalised or removed."""
+    """All rows, with personal data generalised or removed; null texts stay null."""
     return pii.clean(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows in sequences of 2048 tokens; null or empty text is the end id alone, repeated rows are packed once each."""
     return packing.pack(docs, vocabulary_path())
 
 
@@ -52,8 +48,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; each stage's result is written as Parquet and read again."""
-    docs = parquet_table(spark, sf_dir, "documents")
+    """The rows of the last stage; each stage's result is written as Parquet and read again, and what it was made from is removed."""
+    docs, before = parquet_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        path = new_folder(spark, f"stage-{name.replace(' ', '-')}")
+        with scratch():
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
