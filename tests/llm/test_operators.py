@@ -170,6 +170,37 @@ def test_nearest_few_and_equal(spark):
     assert hnsw.search(hnsw.build(df.limit(0)), df.limit(0)).count() == 0
 
 
+def test_nearest_beside_a_hot_vector(spark):
+    r = np.random.default_rng(14)
+    x = r.normal(size=(1200, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[r.permutation(1200)[:400]] = x[7]
+    df = spark.createDataFrame([(i, v.tolist(), "z") for i, v in enumerate(x)], "vec_id long, embedding array<double>, node string").repartition(4)
+    got = {}
+    for q, rank, v, s in hnsw.search(hnsw.build(df, shard=300), df.filter("vec_id % 20 = 0")).collect():
+        got.setdefault(q, []).append((rank, v, s))
+    assert set(got) == set(range(0, 1200, 20))
+    hit = 0
+    for q, own in got.items():
+        want = np.round(x @ x[q], 9)
+        want[q] = -np.inf
+        best = np.lexsort((np.arange(1200), -want))[:20].tolist()
+        assert sorted(v[0] for v in own) == list(range(1, 21))
+        hit += len(set(best) & {v for _, v, _ in own})
+        if want[best[19]] > 0.999:  # all are copies: the smallest ids, exactly
+            assert [v for _, v, _ in sorted(own)] == best
+    assert hit / (20 * len(got)) >= 0.95
+
+
+def test_nearest_with_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0])] * 30 + [(2, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.5, 0.0]), (4, [-0.0, 1.0]), (5, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for x in hnsw.search(hnsw.build(df), df.filter("vec_id < 4"), k=4).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    assert got == {1: [(2, 1.0), (2, 0.9), (3, 0.5), (4, 0.0)], 2: [(1, 0.9)] * 4, 3: [(1, 0.5)] * 4}
+
+
 # 5
 def test_encoder_is_the_tokenizer():
     r = random.Random(5)
