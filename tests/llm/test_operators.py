@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, hnsw, learning, licenses, packing, pii, quality, sharding, toxicity, warc
+from quern.llm import decontaminate, hnsw, learning, licenses, packing, pii, quality, sharding, templates, toxicity, warc
 from quern.llm.queries import vocabulary_path
 from quern.llm.tokens import Encoder
 
@@ -335,8 +335,27 @@ def test_licences(spark):
 
 def test_every_template_is_itself(spark):
     df = spark.createDataFrame(list(enumerate(licenses.TEMPLATES.values())), "doc_id long, text string")
-    got = [x.licence for x in licenses.scan(df, F.lit("f")).orderBy("doc_id").collect()]
-    assert [g for g, n in zip(got, licenses.TEMPLATES, strict=True) if g != n] in ([], [None])
+    got = [x.licence for x in licenses.scan(df, F.lit(None)).orderBy("doc_id").collect()]
+    assert got == list(licenses.TEMPLATES)
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(templates.TEXTS)], "doc_id long, text string")
+    got = [x.licence for x in licenses.scan(df, F.lit(None)).orderBy("doc_id").collect()]
+    assert [(g, n) for g, (n, _) in zip(got, templates.TEXTS, strict=True) if g != n] in ([], [(None, "Zlib")])  # Zlib's text has no word that makes a header
+
+
+def test_whole_licence_files(spark):
+    named = "Copyright (c) 2019 Zyx Qwert and the Foobar contributors"
+    mit, isc, bsd2, bsd3 = (dict(templates.TEXTS)[k] for k in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"))
+    wrap = lambda t, n=11: "\n".join(" ".join(t.split(" ")[i : i + n]) for i in range(0, len(t.split(" ")), n))
+    gpl = "/*\n * " + wrap(templates.TEXTS[8][1]).replace("\n", "\n * ") + "\n */\n\n" + "int main(void) { return 0; }\n" * 40
+    files = [
+        ("p/one.txt", wrap(mit.replace("Copyright (c)", named)), "MIT", "header"), ("p/sub/code.c", "int x;", "MIT", "inherited"),
+        ("q/two.txt", wrap(isc.split("Copyright (c) ")[1]) + "\n" + named, "ISC", "header"), ("q/a/b/c.c", "int y;", "ISC", "inherited"),
+        ("r/three", named + ". All rights reserved.\n\n" + wrap(bsd2.split("reserved. ")[1]), "BSD-2-Clause", "header"),
+        ("s/four", named + "\n\n" + wrap(bsd3.split("reserved. ")[1]), "BSD-3-Clause", "header"), ("t/gpl.c", gpl, "GPL-2.0", "header"), ("t/other.c", "int z;", None, None),
+    ]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t, _, _) in enumerate(files)], "doc_id long, path string, text string")
+    got = [(x.licence, x.origin) for x in licenses.scan(df, F.col("path")).orderBy("doc_id").collect()]
+    assert got == [f[2:] for f in files]
 
 
 def test_licences_do_not_depend_on_the_size_of_the_corpus(spark):
