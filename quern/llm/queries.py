@@ -9,16 +9,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, hnsw, licenses, ngram_join, packing, pii, quality, sharding, toxicity, warc
+from quern.llm import decontaminate, hnsw, licenses, ngram_join, oracles, packing, pii, quality, sharding, toxicity, warc
 from quern.sources import parquet_table
 
 
-def vocabulary_path(name: str = "word_bpe_49k.json", package: str = "public_tokenizers") -> str:
-    """Where the public tokenizer file ``name`` is."""
+def vocabulary_path(name: str = "word_bpe_49k.json", package: str = "public_tokenizers", folder: str = "/opt/tokenizers") -> str:
+    """Where the public tokenizer file ``name`` is; folder: that of the package, used where it is not on the path."""
     try:
         found = __import__(package)
     except ImportError:
-        sys.path.append(str(Path("/opt/tokenizers").resolve().parent))
+        sys.path.append(str(Path(folder).resolve().parent))
         found = __import__(package)
     return found.path(name)
 
@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_ngram_join": oracles.OP3, "op8_licences": oracles.OP8, "op9_warc": oracles.OP9, "op10_decontamination": oracles.OP10}
