@@ -340,7 +340,6 @@ def clean(docs: DataFrame) -> DataFrame:
 
     if places is None:
         return docs.mapInArrow(rewrite, schema)
-    h, size = _identity(docs["text"])
-    places = places.toDF("h", "size", "places")
-    both = docs.join(places, (h == places["h"]) & (size == places["size"]), "left").select(*[docs[c] for c in names], places["places"])
-    return both.mapInArrow(rewrite, schema)
+    h, size = _identity(F.col(f"c{text}"))
+    own = docs.toDF(*[f"c{k}" for k in range(len(names))]).withColumns({"h": h, "size": size})
+    return own.join(places, ["h", "size"], "left").select(*[f"c{k}" for k in range(len(names))], "places").mapInArrow(rewrite, schema)
