@@ -2,8 +2,8 @@
 
 Law ``rows``: the numbers of rows of any two shards differ by at most one. Rows with equal texts are
 linked. Linked rows start in shards by hash; in each round a group counts its rows by
-shard, ranks those shards, and takes as many of the first as it needs at least (one, unless it is
-larger than a shard); its rows elsewhere ask to move there. A shard admits movers up to its quota of
+shard, ranks those shards, and takes as many of the first as it needs at least (one, if what it has there and the room
+that the last round left hold all of it); its rows elsewhere ask to move there, to those with room. A shard admits movers up to its quota of
 rows: demand is summed in 1024 classes of a hash (small groups are in one class, so they are
 admitted whole, and before rows of large groups), and classes are admitted while they fit. Small groups that are split leave the shards
 that refused movers: they take another of their shards, or else any with room. Rounds end when no row moves and no other shard refuses, or
@@ -41,21 +41,29 @@ def _of(values: list[int], index) -> F.Column:
     return F.element_at(F.array(*[F.lit(int(v)) for v in values]), index.cast("int") + 1)
 
 
-def _move(linked: DataFrame, shards: int, quota: int, round_: int, full: list[int], free: list[int]) -> tuple[DataFrame, int, list[int], list[int]]:
-    """One round of propagation: rows with new shards, how many moved, and the shards that refused some and that have much room; full, free: those of the round before."""
+def _move(linked: DataFrame, shards: int, quota: int, round_: int, full: list[int], free: list[int], rooms: list[int]) -> tuple[DataFrame, int, list[int], list[int], list[int]]:
+    """One round of propagation: rows with new shards, how many moved, the shards that refused some and that have much room, and each one's room; full, free, rooms: those of the round before."""
     counts = linked.groupBy(*GROUP, "shard").agg(F.count("*").alias("n"), F.first("k").alias("k"))
     is_small = F.col("k") <= quota // 4
     avoid = is_small & F.col("shard").isin(full) & (F.col("n") < F.col("k")) if free else F.lit(False)
     ranked = counts.withColumn("avoid", avoid).withColumn("r", F.row_number().over(Window.partitionBy(*GROUP).orderBy("avoid", F.desc("n"), F.xxhash64("g", "shard"), "shard")))
     elsewhere = _of(free, F.pmod(F.xxhash64("g", F.lit(round_)), F.lit(len(free)))) if free else F.col("shard")
-    wanted = ranked.filter(F.col("r") <= F.ceil(F.col("k") / quota)).withColumn("shard", F.when(F.col("avoid"), elsewhere).otherwise(F.col("shard"))).groupBy(*GROUP).agg(F.sort_array(F.collect_list("shard")).alias("best"))
+    # a large group takes shards until its rows there and their room hold all of it
+    holds = F.least(F.lit(quota), F.col("n") + _of(rooms, F.col("shard")))
+    held = F.sum(holds).over(Window.partitionBy(*GROUP).orderBy("r").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = ranked.withColumn("held", F.coalesce(held, F.lit(0)))
+    taken = F.when(is_small, F.col("r") == 1).otherwise(F.col("held") < F.col("k"))
+    place = F.when(F.col("avoid"), elsewhere).otherwise(F.col("shard"))
+    wanted = ranked.filter(taken).select(*GROUP, place.alias("shard"), (_of(rooms, place) > 0).alias("open")).groupBy(*GROUP).agg(
+        F.sort_array(F.collect_list("shard")).alias("best"), F.sort_array(F.collect_list(F.when(F.col("open"), F.col("shard")))).alias("open")
+    ).withColumn("open", F.when(F.size("open") > 0, F.col("open")).otherwise(F.col("best")))
     spread = F.xxhash64("rid", F.lit(round_))
     rows = linked.join(wanted, list(GROUP)).withColumn(
-        "to", F.when(F.array_contains("best", F.col("shard")), F.col("shard")).otherwise(F.element_at("best", (F.pmod(spread, F.size("best")) + 1).cast("int")))
+        "to", F.when(F.array_contains("best", F.col("shard")), F.col("shard")).otherwise(F.element_at("open", (F.pmod(spread, F.size("open")) + 1).cast("int")))
     )
     half = lambda h: F.pmod(h, F.lit(CLASSES // 2))
     small = F.when(is_small, half(F.xxhash64("g", F.lit(round_)))).otherwise(half(spread) + CLASSES // 2)
-    rows = stored(rows.drop("best").withColumn("class", small.cast("int")), "moves")
+    rows = stored(rows.drop("best", "open").withColumn("class", small.cast("int")), "moves")
     stay = {r.shard: r.n for r in rows.filter("to = shard").groupBy("shard").agg(F.count("*").alias("n")).collect()}
     demand: dict[int, dict[int, int]] = {}
     for r in rows.filter("to != shard").groupBy("to", "class").agg(F.count("*").alias("n")).collect():  # shards x CLASSES rows at most
@@ -72,7 +80,7 @@ def _move(linked: DataFrame, shards: int, quota: int, round_: int, full: list[in
     most = max((r for s, r in enumerate(rooms) if s not in refused), default=0)
     roomy = [s for s, r in enumerate(rooms) if s not in refused and r > 0 and 2 * r >= most]
     admitted = F.col("class") < _of(cut, F.col("to"))
-    return rows.withColumn("shard", F.when(admitted, F.col("to")).otherwise(F.col("shard"))).drop("to", "class"), moved, sorted(refused), roomy
+    return rows.withColumn("shard", F.when(admitted, F.col("to")).otherwise(F.col("shard"))).drop("to", "class"), moved, sorted(refused), roomy, rooms
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -87,11 +95,13 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = stored(base.join(groups, list(GROUP), "left").withColumn("k", F.coalesce("k", F.lit(1).cast("long"))), "groups")
     want = [total // shards + (s < total % shards) for s in range(shards)]
     linked = rows.filter("k > 1").withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int"))
+    quota = max(1, total // shards)
     full: list[int] = []
     free: list[int] = []
+    rooms = [quota] * shards
     for i in range(ROUNDS):
         before = full
-        linked, moved, full, free = _move(linked, shards, max(1, total // shards), i, full, free)
+        linked, moved, full, free, rooms = _move(linked, shards, quota, i, full, free, rooms)
         if not moved and (full == before or not free):
             break
     linked = stored(linked, "linked")
