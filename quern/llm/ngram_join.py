@@ -43,7 +43,7 @@ MEET = 18.0
 #: Documents of fewer shingles use prefix tokens.
 SMALL = 64
 #: Postings that a map task holds before it sends them on, and the bytes of text whose postings a bucket gets on average (a word makes less than one posting of 16 bytes).
-HELD, BUCKET = 1_000_000, 16 << 20
+HELD, BUCKET = 250_000, 8 << 20
 #: Nodes of a tile's side.
 BLOCK = 1024
 #: Whether a round takes forests of pairs; the last one takes all.

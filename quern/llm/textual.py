@@ -1,7 +1,7 @@
 """Words and word shingles of whole Arrow batches as 64-bit hashes, computed with numpy.
 
 A word is a maximal run of bytes other than space and \\t..\\r, with A-Z lower-cased. Work goes
-in segments of about 1 MB cut between words, so memory does not depend on a text's length
+in segments of about 256 KB cut between words, so memory does not depend on a text's length
 (beyond the text and 8 bytes a word).
 """
 
@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 WIDTH = 5
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 #: Odd multipliers; any odd numbers do, but all workers must use the same.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 STEPS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], "u8") | np.uint64(1)
