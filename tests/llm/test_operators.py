@@ -217,6 +217,12 @@ def test_nearest_with_repeated_ids(spark):
     assert got == {1: [(2, 1.0), (2, 0.9), (3, 0.5), (4, 0.0)], 2: [(1, 0.9)] * 4, 3: [(1, 0.5)] * 4}
 
 
+def test_nearest_with_columns_of_any_names(spark):
+    rows = spark.createDataFrame([(k, [1.0, float(k)], k, k, k, k, 0.5) for k in range(8)], "vec_id long, embedding array<double>, dim int, node long, shard int, query_id long, score double")
+    got = [(x.query_id, x["rank"], x.vec_id, x.score) for x in hnsw.search(hnsw.build(rows), rows.filter("vec_id = 7"), 3).collect()]
+    assert sorted(got) == [(7, 1, 6, 43.0), (7, 2, 5, 36.0), (7, 3, 4, 29.0)]
+
+
 # 5
 def test_encoder_is_the_tokenizer():
     r = random.Random(5)
@@ -416,6 +422,12 @@ def test_warc(spark, monkeypatch):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_with_columns_of_any_names(spark):
+    pages = spark.createDataFrame([(k, f"u{k}", "x" * (k % 3), k, k, "s", k, k) for k in range(9)], "page_id long, url string, html string, size long, key long, sha string, refers_to long, page int")
+    got = {(x.page_id, x.record_type, x.refers_to, x.payload_bytes) for x in warc.round_trip(pages).collect()}
+    assert got == {(k, "response" if k < 3 else "revisit", None if k < 3 else k % 3, k % 3) for k in range(9)}
+
+
 # 10
 def test_decontamination(spark):
     r = random.Random(10)
