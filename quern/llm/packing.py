@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.textual import batches
-from quern.llm.tokens import Encoder
+from quern.llm.tokens import encoder
 
 CAPACITY, GRAIN, END_ID = 2048, 64, 1
 
@@ -88,7 +88,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
     """One row a piece: where it is in its document and in its sequence, and the crc32 of its ids."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(vocabulary), Packer(capacity)
+        encode, packer = encoder(vocabulary).encode, Packer(capacity)
         base, count = TaskContext.get().partitionId() << 40, 0
 
         def rows(sequences: list[list[tuple]]) -> pa.RecordBatch:
@@ -106,7 +106,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
 
         for batch in it:
             full = []
-            for doc, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"].to_pylist()), strict=True):
+            for doc, ids in zip(batch["doc_id"].to_pylist(), encode(batch["text"].to_pylist()), strict=True):
                 ids += end_id.to_bytes(4, "little")
                 start, tokens = 0, len(ids) // 4
                 for length in cut(tokens, capacity):

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, hnsw, learning, licenses, packing, pii, quality, sharding, templates, toxicity, warc
+from quern.llm import decontaminate, hnsw, learning, licenses, packing, pii, quality, sharding, templates, tokens, toxicity, warc
 from quern.llm.filters import BitFilter
 from quern.llm.queries import vocabulary_path
 from quern.llm.tokens import Encoder
@@ -233,6 +233,28 @@ def test_encoder_is_the_tokenizer():
         assert got == [e.whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_cuts_words_in_long_and_odd_texts(monkeypatch):
+    monkeypatch.setattr(tokens, "SEGMENT", 16)
+    r = random.Random(9)
+    signs = ["'", "'s", "'Re", "'LL", "'l", "'d", "'v", " ", "\n", "\r\t", "ab", "Éß", "ŀſ", "12", "²½", "ª", "_-", "!'", "«", "%|"]
+    texts = ["".join(r.choices(signs, k=r.randint(0, 40))) for _ in range(500)] + ["x" * 100, " " * 100, "", None]
+    e = Encoder(vocabulary_path())
+    got = [np.frombuffer(b, "<u4").tolist() for b in e.encode(texts)]
+    assert got == [e.whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_learns_words_in_use_once(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", 20)
+    e, learn, calls = Encoder(vocabulary_path()), Encoder._learn, []
+    monkeypatch.setattr(Encoder, "_learn", lambda self, new: (calls.append(len(new)), learn(self, new)))
+    for k in range(12):
+        texts = [f"the same words as ever {chr(97 + k) * n}" for n in range(2, 12)]
+        got = [np.frombuffer(b, "<u4").tolist() for b in e.encode(texts)]
+        assert got == [e.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(calls) == 5 + 12 * 10
+    assert tokens.encoder(vocabulary_path()) is tokens.encoder(vocabulary_path())
+
+
 def test_packing(spark):
     r = random.Random(6)
     texts = [prose(r, r.choice([1, 30, 300, 1500])) for _ in range(60)] + ODD
