@@ -4,16 +4,17 @@ Size-banded tiles: a document of n shingles belongs to the tile of its power of
 one below if it is within a quarter of it, so that any two linked documents meet in a
 tile. Within a tile, the shingle space is cut by hash into m parts; a document's signature
 in a part is the hash of its shingles there, and documents that agree in a part meet in a
-*cell*. m is such that two documents at the threshold agree in ``MEET`` non-empty parts on
-average, so the chance to miss a pair at the threshold is about e^-18 (one in 60 million), and less
-above it. Below 64 shingles the cells are prefix tokens, which
-miss nothing.
+*cell*. Linked documents differ in at most n / 4 shingles, n being the smaller size, so in at most as many parts; m is such that
+more parts than that are not empty, and in one of them at least both agree: no link is missed. A document
+whose shingles leave too many parts empty (by chance, as good as never) is held against every document of a size that
+it may be linked with. Below 64 shingles the cells are prefix tokens, which miss nothing either.
 
 Work stays far from all pairs of a cell. Documents with equal sets are one node. Cells of the same
-nodes count once. Every node of a cell is first compared with the cell's smallest node (a star). Cells whose nodes are then in
+nodes count once. Every node of a cell is first compared with the cell's smallest node (a star; by parities before texts are moved). Cells whose nodes are then in
 one component need nothing more. In the others, each node outside the largest component is held
-against all nodes of other components by bitmaps of 8 to 16 bits a shingle, whose counts bound
-the overlap from above; only pairs that may reach the threshold are intersected exactly.
+against all nodes of other components by parities of 1 to 2 bits a shingle, whose differences bound
+the overlap from above. Pairs that may reach the threshold meet with their texts, where bitmaps of 8 to 16 bits a shingle
+bound it once more; only what these leave is intersected exactly.
 The first round takes, of each tile, a forest of the most promising pairs between components, the last
 one all pairs that are still apart, so components are those of all links.
 
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,8 @@ from quern.llm.graphs import components
 from quern.llm.textual import batch_shingles, batches, mix
 from quern.storage import scratch, stored
 
-MEET = 18.0
+#: Standard deviations by which a document may have more empty parts than it has on average.
+SLACK = 7.0
 #: Documents of fewer shingles use prefix tokens.
 SMALL = 64
 #: Postings that a map task holds before it sends them on, and the bytes of text whose postings a bucket gets on average (a word makes less than one posting of 16 bytes).
@@ -52,14 +54,14 @@ ROUNDS = (True, False)
 
 @functools.cache
 def parts(band: int) -> int:
-    """Parts of the tile with sizes from 2**band: the fewest with MEET agreeing non-empty parts at both ends."""
-    agree = lambda n, m: m * (math.exp(-0.25 * n / m) - math.exp(-1.1 * n / m))
-    m = 16
-    while min(agree(2**band, m), agree(2 ** (band + 1), m), agree(2.5 * 2**band, m)) < MEET:
-        m += max(1, m // 32)
-        if m > 2 ** (band + 2):
-            return 2 ** (band + 2)
-    return m
+    """Parts of the tile with sizes from 2**band: the fewest that, less the empty ones and ``SLACK``, are more than a quarter of the largest size."""
+    n = 2 ** (band + 1)
+    m = n // 4 + 2
+    while True:
+        one = math.exp(-n / m)  # the chance that a part is empty
+        if m - m * one - SLACK * math.sqrt(m * one * (1 - (1 + n / m) * one)) > n / 4:
+            return m
+        m += max(1, m // 256)
 
 
 def tiles(n: int) -> list[int]:
@@ -67,13 +69,13 @@ def tiles(n: int) -> list[int]:
     return [band, band - 1] if band and 4 * n < 5 * 2**band else [band]
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
-    """Cell keys of a document with the sorted shingles ``s``."""
-    n, out = len(s), []
+def signatures(s: np.ndarray, parts: Callable[[int], int] = parts) -> tuple[np.ndarray, bool]:
+    """Cell keys of a document with the sorted shingles ``s``, and whether all larger ones that are linked with it have one of them."""
+    n, out, meets = len(s), [], True
     with np.errstate(over="ignore"):
         for band in tiles(n):
             if 2 ** (band + 1) <= SMALL:  # prefix tokens in hash order
-                out.append(mix(s[: n - math.ceil(0.8 * n) + 1] + np.uint64(band + 1) * np.uint64(0xC2B2AE3D27D4EB4F)))
+                out.append(mix(s[: n // 5 + 1] + np.uint64(band + 1) * np.uint64(0xC2B2AE3D27D4EB4F)))
                 continue
             m = parts(band)
             # s is sorted, so equal leading bits are neighbours: parts are ranges
@@ -81,7 +83,9 @@ def signatures(s: np.ndarray) -> np.ndarray:
             first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             sums = np.add.reduceat(mix(s ^ np.uint64(0x94D049BB133111EB)), first)
             out.append(mix(sums + mix(part[first] * np.uint64(64) + np.uint64(band))))
-    return np.concatenate(out)
+            if band == n.bit_length() - 1:
+                meets = len(first) > n // 4
+    return np.concatenate(out), meets
 
 
 def bits(n: int) -> int:
@@ -94,6 +98,12 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(b, bitorder="little").tobytes()
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Whether an odd number of shingles falls on each of 1 to 2 bits a shingle: sets differ in at least as many shingles as bits."""
+    w = max(64, 1 << (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((mix(s) & np.uint64(w - 1)).astype("i8"), minlength=w) & 1 == 1, bitorder="little").tobytes()
+
+
 def node_of(s: np.ndarray) -> int:
     """A 64-bit fingerprint of the set."""
     with np.errstate(over="ignore"):
@@ -101,11 +111,11 @@ def node_of(s: np.ndarray) -> int:
         return int(mix(total + np.uint64(len(s)) * np.uint64(0xD6E8FEB86659FD93)).view("i8")[0])
 
 
-FEATURES = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bitmap", pa.binary()), ("text", pa.string())])
+FEATURES = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bitmap", pa.binary()), ("parity", pa.binary()), ("text", pa.string())])
 
 
 def _features(it: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
-    """Every row's set; the first row of a task whose set may be in a cell with others also carries its text and bitmap."""
+    """Every row's set; the first row of a task whose set may be in a cell with others also carries its text, bitmap and parity."""
     seen: set[int] = set()
     for batch in it:
         sets = batch_shingles(batch["text"])
@@ -121,7 +131,7 @@ def _features(it: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.Re
         rows = pa.array([k if keep else None for k, keep in enumerate(own)], pa.int64())
         columns = [
             batch["doc_id"], batch["h"], [len(s) for s in sets], [v if len(s) else None for v, s in zip(nodes.tolist(), sets, strict=True)],
-            [bitmap(s) if keep else None for s, keep in zip(sets, own, strict=True)], batch["text"].take(rows),
+            *([f(s) if keep else None for s, keep in zip(sets, own, strict=True)] for f in (bitmap, parity)), batch["text"].take(rows),
         ]
         yield pa.record_batch([pa.array(c, t.type) if isinstance(c, list) else c for c, t in zip(columns, FEATURES, strict=True)], schema=FEATURES)
 
@@ -155,13 +165,19 @@ def _send(cells: np.ndarray, nodes: np.ndarray, buckets: int) -> Iterator[pa.Rec
             yield pa.record_batch([pa.array([k], pa.int32()), pa.array([meeting]), pa.array([c[span].tobytes()], pa.binary()), pa.array([v[span].tobytes()], pa.binary())], schema=PACKED)
 
 
-def _postings(it: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+#: The bucket of documents (size as cell, node) that may not meet all that they are linked with.
+SHORT = -1
+
+
+def _postings(it: Iterator[pa.RecordBatch], buckets: int, parts: Callable[[int], int]) -> Iterator[pa.RecordBatch]:
     held, size, seen = [], 0, set()
     for batch in it:
         for s in batch_shingles(batch["text"]):
             if len(s) and (v := node_of(s)) not in seen:
                 seen.add(v)
-                c = signatures(s)
+                c, meets = signatures(s, parts)
+                if not meets:
+                    yield pa.record_batch([pa.array([SHORT], pa.int32()), pa.array([False]), *(pa.array([np.array([x], "i8").tobytes()], pa.binary()) for x in (len(s), v))], schema=PACKED)
                 held.append((c, np.full(len(c), v, "i8")))
                 size += len(c)
                 if size >= HELD:
@@ -171,11 +187,27 @@ def _postings(it: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordB
         yield from _send(*map(np.concatenate, zip(*held, strict=True)), buckets)
 
 
-MEMBERS = pa.schema([("cell", pa.int64()), ("node", pa.int64())])
+def _rest(it: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    """A cell of its own for every document and each of the shared (sizes in order, nodes) that is no larger and may be linked with it."""
+    sizes, nodes = shared.value
+    for batch in it:
+        for s in batch_shingles(batch["text"]):
+            lo, hi = np.searchsorted(sizes, -(-4 * len(s) // 5), "left"), np.searchsorted(sizes, len(s), "right")
+            if len(s) and lo < hi:
+                v = np.array([node_of(s)], "i8")
+                other = nodes[lo:hi][nodes[lo:hi] != v]
+                cells = mix(other.view("u8") ^ mix(v.view("u8"))).view("i8")
+                yield pa.record_batch([pa.array(np.tile(cells, 2)), pa.array(np.append(other, np.repeat(v, len(other)))), pa.array(np.zeros(2 * len(other), bool))], schema=MEMBERS)
+
+
+MEMBERS = pa.schema([("cell", pa.int64()), ("node", pa.int64()), ("short", pa.bool_())])
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """The postings of a bucket whose cell has several nodes, or had several in a map task."""
+    """The postings of a bucket whose cell has several nodes, or had several in a map task; all of the bucket ``SHORT``."""
+    if table.num_rows and table["bucket"][0].as_py() == SHORT:
+        own = [np.frombuffer(b"".join(table[c].to_pylist()), "i8") for c in ("cells", "nodes")]
+        return pa.table([pa.array(own[0]), pa.array(own[1]), pa.array(np.ones(len(own[0]), bool))], schema=MEMBERS)
     sent = {False: ([], []), True: ([], [])}
     for meeting, c, v in zip(table["meeting"].to_pylist(), table["cells"], table["nodes"], strict=True):
         sent[meeting][0].append(np.frombuffer(c.as_buffer(), "u8"))
@@ -190,7 +222,7 @@ def _meet(table: pa.Table) -> pa.Table:
         several = np.append(False, cells[1:] == cells[:-1])
         several[:-1] |= several[1:]
         done = [np.concatenate([done[0].view("u8"), cells[several]]), np.concatenate([done[1], nodes[several]])]
-    return pa.table([pa.array(done[0].view("i8")), pa.array(done[1])], schema=MEMBERS)
+    return pa.table([pa.array(done[0].view("i8")), pa.array(done[1]), pa.array(np.zeros(len(done[0]), bool))], schema=MEMBERS)
 
 
 def linked(a: int, b: int, common: int) -> bool:
@@ -203,6 +235,18 @@ def _fold(b: np.ndarray, words: int) -> np.ndarray:
     return b
 
 
+def _fold_parity(b: np.ndarray, words: int) -> np.ndarray:
+    while len(b) > words:
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return b
+
+
+def parity_bound(n: int, b: np.ndarray, ns: np.ndarray, bs: np.ndarray) -> np.ndarray:
+    """No less than the overlap of a set with each of others, by their parities."""
+    differ = np.bitwise_count(b ^ bs).sum(1, dtype="i8")
+    return np.minimum(np.minimum(n, ns), (n + ns - differ) // 2)
+
+
 def bound(n: int, b: np.ndarray, ns: np.ndarray, bs: np.ndarray) -> np.ndarray:
     """No less than the overlap of a set with each of others, by bits that only one side has."""
     own = np.bitwise_count(b & ~bs).sum(1, dtype="i8")
@@ -259,14 +303,14 @@ def _forest(a: np.ndarray, b: np.ndarray, promise: np.ndarray) -> np.ndarray:
 
 
 def _tile(table: pa.Table, forest: bool) -> pa.Table:
-    """Pairs of a bucket's tiles that the bitmaps allow, of nodes in different components.
+    """Pairs of a bucket's tiles that the parities allow, of nodes in different components.
 
     forest: only as many of each tile as join its components, if all were linked.
     """
     frame = table.combine_chunks()
     key = [frame[c].to_numpy() for c in ("cell", "i", "j")]
     role, node, comp, n = (frame[c].to_numpy() for c in ("role", "node", "comp", "n"))
-    maps = frame["bitmap"].chunk(0) if frame.num_rows else None
+    maps = frame["parity"].chunk(0) if frame.num_rows else None
     order = np.lexsort((node, role, *key[::-1]))
     change = np.any([k[order][1:] != k[order][:-1] for k in key], axis=0) if len(order) else np.zeros(0, bool)
     done = [np.zeros((0, 2), "i8")]
@@ -276,11 +320,11 @@ def _tile(table: pa.Table, forest: bool) -> pa.Table:
             continue
         raw = {k: np.frombuffer(maps[int(k)].as_buffer(), "u8") for k in own.tolist()}
         w = min(map(len, raw.values()))
-        bs = np.stack([_fold(raw[k], w) for k in right.tolist()])
+        bs = np.stack([_fold_parity(raw[k], w) for k in right.tolist()])
         ns, cs, vs = n[right], comp[right], node[right]
         pairs = []
         for k in left.tolist():
-            top = bound(n[k], _fold(raw[k], w), ns, bs)
+            top = parity_bound(n[k], _fold_parity(raw[k], w), ns, bs)
             ok = np.flatnonzero((cs != comp[k]) & (5 * np.minimum(ns, n[k]) >= 4 * np.maximum(ns, n[k])) & (100 * top >= 80 * (ns + n[k] - top)))
             if len(ok):
                 pairs.append((np.full(len(ok), node[k]), vs[ok], np.full(len(ok), comp[k]), cs[ok], top[ok] / (ns[ok] + n[k] - top[ok])))
@@ -292,6 +336,26 @@ def _tile(table: pa.Table, forest: bool) -> pa.Table:
     return pa.table([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], schema=CANDIDATES)
 
 
+def _may_link(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that sizes and parities allow."""
+    for batch in it:
+        na, nb = batch["na"].to_numpy(), batch["nb"].to_numpy()
+        near = np.flatnonzero(5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb))
+        out = []
+        for i in near.tolist():
+            x, y = np.frombuffer(batch["pa"][i].as_buffer(), "u8"), np.frombuffer(batch["pb"][i].as_buffer(), "u8")
+            w = min(len(x), len(y))
+            if linked(na[i], nb[i], parity_bound(na[i], _fold_parity(x, w), nb[i : i + 1], _fold_parity(y, w)[None])[0]):
+                out.append(i)
+        yield batch.select(["a", "b"]).take(pa.array(out, pa.int64()))
+
+
+def _allowed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may be linked by their sizes and parities; no text is moved."""
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_may_link, "a long, b long")
+
+
 def _linked_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked."""
     side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("bitmap").alias(f"b{k}"), F.col("text").alias(f"t{k}"))
@@ -314,20 +378,27 @@ def _apart(members: DataFrame, comp: DataFrame, nodes: DataFrame, forest: bool)
     role = F.when(single & (F.col("comp") != F.col("main")), 2).otherwise(1)
     member = m.select("cell", "node", "comp", role.alias("role"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("i"), spread(1, "mb").alias("j"))
     rest = m.filter((F.col("comp") != F.col("main")) & ~single).select("cell", "node", "comp", F.lit(0).alias("role"), spread(2, "rb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j"))
-    rows = member.union(rest).join(nodes.select("node", "n", "bitmap"), "node")
+    rows = member.union(rest).join(nodes.select("node", "n", "parity"), "node")
     total = m.count()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 20_000)
     rows = rows.withColumn("bucket", F.pmod(F.hash("cell", "i", "j"), F.lit(buckets)))
     return rows.groupBy("bucket").applyInArrow(lambda t: _tile(t, forest), "a long, b long")
 
 
-def _members(docs: DataFrame) -> DataFrame:
+def _members(docs: DataFrame, parts: Callable[[int], int]) -> DataFrame:
     """Stored (cell, node) of the cells with several nodes; of cells with the same nodes, one."""
     spark = docs.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(width, math.ceil((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BUCKET))
-    packed = docs.select("text").mapInArrow(functools.partial(_postings, buckets=buckets), "bucket int, meeting boolean, cells binary, nodes binary")
-    every = stored(packed.groupBy("bucket").applyInArrow(lambda t: _meet(t), "cell long, node long").distinct(), "members")
+    packed = docs.select("text").mapInArrow(functools.partial(_postings, buckets=buckets, parts=parts), "bucket int, meeting boolean, cells binary, nodes binary")
+    schema = "cell long, node long, short boolean"
+    every = stored(packed.groupBy("bucket").applyInArrow(lambda t: _meet(t), schema).distinct(), "members")
+    short = every.filter("short").orderBy("cell", "node").collect()  # sizes and nodes, in all likelihood none
+    every = every.filter("not short").drop("short")
+    if short:
+        shared = spark.sparkContext.broadcast(tuple(np.array([r[c] for r in short], "i8") for c in ("cell", "node")))
+        rest = docs.select("text").mapInArrow(lambda it: _rest(it, shared), schema).drop("short").distinct()
+        every = stored(every.union(rest), "members")
     # two 64-bit sums, the count and the least tell sets of nodes apart
     alike = every.groupBy("cell").agg(F.count("*").alias("k"), F.min("node").alias("centre"), *[F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(20,0)")).alias(f"s{i}") for i in (1, 2)])
     cells = alike.filter("k > 1").groupBy("k", "centre", "s1", "s2").agg(F.min("cell").alias("cell")).select("cell", "centre")
@@ -335,23 +406,23 @@ def _members(docs: DataFrame) -> DataFrame:
 
 
 @scratch()
-def _rows(docs: DataFrame) -> DataFrame:
+def _rows(docs: DataFrame, parts: Callable[[int], int] = parts) -> DataFrame:
     """Stored (doc_id, h, n_shingles, first) for every row of ``docs`` (doc_id, h, text).
 
     first: (none, doc_id, h) of the least row of the row's component, those without doc_id last; null for texts without words.
     """
     spark = docs.sparkSession
-    members = _members(docs)
+    members = _members(docs, parts)
     involved = stored(members.select("node").distinct(), "involved")
     shared = spark.sparkContext.broadcast(BitFilter.of(involved, "node"))
-    features = stored(docs.select("doc_id", "h", "text").mapInArrow(lambda it: _features(it, shared), "doc_id long, h long, n_shingles long, node long, bitmap binary, text string"), "features")
+    features = stored(docs.select("doc_id", "h", "text").mapInArrow(lambda it: _features(it, shared), "doc_id long, h long, n_shingles long, node long, bitmap binary, parity binary, text string"), "features")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     classes = stored(features.filter("node is not null").groupBy("node").agg(F.min(rank).alias("rank")), "classes")
-    carried = features.filter("text is not null").select("node", F.col("n_shingles").alias("n"), "bitmap", "text")
+    carried = features.filter("text is not null").select("node", F.col("n_shingles").alias("n"), "bitmap", "parity", "text")
     nodes = stored(carried.join(involved, "node", "left_semi").dropDuplicates(["node"]), "nodes")
 
     star = members.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(_linked_pairs(star, nodes), "stars")
+    links = stored(_linked_pairs(stored(_allowed(star, nodes), "may-link"), nodes), "stars")
     comp = components(links, classes)
     for forest in ROUNDS:
         found = stored(_apart(members, comp, nodes, forest).distinct(), "pairs")
@@ -363,11 +434,11 @@ def _rows(docs: DataFrame) -> DataFrame:
     return stored(features.select("doc_id", "h", "n_shingles", "node").join(by_node, "node", "left").drop("node"), "rows", outlive=True)
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text); see the module."""
+def jaccard_components(docs: DataFrame, parts: Callable[[int], int] = parts) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text); see the module. parts: of each tile, any number gives the same rows."""
     batches(docs.sparkSession)
     text = F.col("text").cast("string")
-    rows = _rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")))
+    rows = _rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")), parts)
     return rows.select("doc_id", "n_shingles", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
 
 

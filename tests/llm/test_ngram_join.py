@@ -94,6 +94,26 @@ def test_words_in_segments(monkeypatch):
     assert [len(x) for x in want] == [len(sets(t)) for t in texts]
 
 
+@pytest.mark.parametrize("n", [100, 255, 300, 511, 700, 1020, 2040, 6000])
+def test_linked_sets_that_differ_in_as_many_parts_as_they_can_meet(n):
+    for seed in range(5):
+        s = np.unique(np.random.default_rng(seed).integers(0, 2**64, n, dtype="u8"))
+        band = len(s).bit_length() - 1
+        part = ((s >> np.uint64(32)) * np.uint64(nj.parts(band))) >> np.uint64(32)
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))[: n // 5]  # a shingle of each part, as long as the link holds
+        other = np.delete(s, first)
+        assert nj.linked(len(s), len(other), len(other))
+        a, b = nj.signatures(s), nj.signatures(other)
+        assert len(np.intersect1d(a[0], b[0])) or not b[1]
+
+
+def test_few_parts_lose_no_link(spark):
+    rows = list(enumerate(corpus(4, 160)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in nj.jaccard_components(df, lambda band: 3).collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_bitmap_bound():
     r = np.random.default_rng(1)
     for n in (5, 70, 900):
@@ -102,3 +122,14 @@ def test_bitmap_bound():
         x, y = (np.frombuffer(nj.bitmap(s), "u8") for s in (a, b))
         w = min(len(x), len(y))
         assert nj.bound(len(a), nj._fold(x, w), np.array([len(b)]), nj._fold(y, w)[None])[0] >= len(np.intersect1d(a, b))
+
+
+def test_parity_bound():
+    r = np.random.default_rng(2)
+    for n in (1, 5, 70, 900):
+        a = np.unique(r.integers(0, 2**63, n, dtype="u8"))
+        for part in (0, n // 2, n - n // 10, n):
+            b = np.unique(np.concatenate([a[:part], r.integers(0, 2**63, n // 3 + 1, dtype="u8")]))
+            x, y = (np.frombuffer(nj.parity(s), "u8") for s in (a, b))
+            w = min(len(x), len(y))
+            assert nj.parity_bound(len(a), nj._fold_parity(x, w), np.array([len(b)]), nj._fold_parity(y, w)[None])[0] >= len(np.intersect1d(a, b))
