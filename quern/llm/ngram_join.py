@@ -12,11 +12,12 @@ it may be linked with. Below 64 shingles the cells are prefix tokens, which miss
 Work stays far from all pairs of a cell. Documents with equal sets are one node. Cells of the same
 nodes count once. Every node of a cell is first compared with the cell's smallest node (a star; by parities before texts are moved). Cells whose nodes are then in
 one component need nothing more. In the others, each node outside the largest component is held
-against all nodes of other components by parities of 1 to 2 bits a shingle, whose differences bound
-the overlap from above. Pairs that may reach the threshold meet with their texts, where bitmaps of 8 to 16 bits a shingle
-bound it once more; only what these leave is intersected exactly.
-The first round takes, of each tile, a forest of the most promising pairs between components, the last
-one all pairs that are still apart, so components are those of all links.
+against all nodes of other components by parities of 4 to 8 bits a shingle, whose differences bound
+the overlap from above; only what these leave is intersected exactly.
+The first round takes, of each tile, a forest of the most promising pairs between components, which meet with their
+texts and with bitmaps of 8 to 16 bits a shingle. The last one takes all pairs that are still apart, so components are those of all links. As they may be as many as
+the square of a group's size, they are never rows: a node has one row a tile with the list of its partners, and lists of
+the same nodes are put together to groups that hold each text once and yield links only.
 
 Null or wordless text: no shingles, linked with nothing. Rows without doc_id take part, but
 a component of only such rows has a null id. Repeated rows are kept as they are.
@@ -46,8 +47,8 @@ SLACK = 7.0
 SMALL = 64
 #: Postings that a map task holds before it sends them on, and the bytes of text whose postings a bucket gets on average (a word makes less than one posting of 16 bytes).
 HELD, BUCKET = 250_000, 8 << 20
-#: Nodes of a tile's side.
-BLOCK = 1024
+#: Nodes of a tile's side, and shingles of the texts that are intersected at once.
+BLOCK, GROUP = 1024, 1 << 20
 #: Whether a round takes forests of pairs; the last one takes all.
 ROUNDS = (True, False)
 
@@ -99,8 +100,8 @@ def bitmap(s: np.ndarray) -> bytes:
 
 
 def parity(s: np.ndarray) -> bytes:
-    """Whether an odd number of shingles falls on each of 1 to 2 bits a shingle: sets differ in at least as many shingles as bits."""
-    w = max(64, 1 << (len(s) - 1).bit_length())
+    """Whether an odd number of shingles falls on each of 4 to 8 bits a shingle: sets differ in at least as many shingles as bits."""
+    w = max(256, 4 << (len(s) - 1).bit_length())
     return np.packbits(np.bincount((mix(s) & np.uint64(w - 1)).astype("i8"), minlength=w) & 1 == 1, bitorder="little").tobytes()
 
 
@@ -225,7 +226,7 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(done[0].view("i8")), pa.array(done[1]), pa.array(np.zeros(len(done[0]), bool))], schema=MEMBERS)
 
 
-def linked(a: int, b: int, common: int) -> bool:
+def linked(a: int, b: int | np.ndarray, common: int | np.ndarray) -> bool | np.ndarray:
     return 100 * common >= 80 * (a + b - common)
 
 
@@ -302,40 +303,122 @@ def _forest(a: np.ndarray, b: np.ndarray, promise: np.ndarray) -> np.ndarray:
     return np.array(out, "i8")
 
 
+NEAR = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("n", pa.int64()), ("others", pa.binary())])
+
+
 def _tile(table: pa.Table, forest: bool) -> pa.Table:
     """Pairs of a bucket's tiles that the parities allow, of nodes in different components.
 
-    forest: only as many of each tile as join its components, if all were linked.
+    forest: as rows (a, b), only as many of each tile as join its components, if all were linked; else all, as lists by node.
     """
     frame = table.combine_chunks()
-    key = [frame[c].to_numpy() for c in ("cell", "i", "j")]
-    role, node, comp, n = (frame[c].to_numpy() for c in ("role", "node", "comp", "n"))
+    cells = [frame[c].to_numpy() for c in ("cell", "i", "j")]
+    role, node, comp, n, main, key = (frame[c].to_numpy() for c in ("role", "node", "comp", "n", "main", "key"))
     maps = frame["parity"].chunk(0) if frame.num_rows else None
-    order = np.lexsort((node, role, *key[::-1]))
-    change = np.any([k[order][1:] != k[order][:-1] for k in key], axis=0) if len(order) else np.zeros(0, bool)
-    done = [np.zeros((0, 2), "i8")]
+    order = np.lexsort((node, role, *cells[::-1]))
+    change = np.any([k[order][1:] != k[order][:-1] for k in cells], axis=0) if len(order) else np.zeros(0, bool)
+    done, near = [np.zeros((0, 2), "i8")], []
     for own in np.split(order, np.flatnonzero(change) + 1):
-        left, right = own[role[own] != 1], own[role[own] != 0]
+        left, right = np.flatnonzero(role[own] != 1), np.flatnonzero(role[own] != 0)
         if not len(left) or not len(right):
             continue
-        raw = {k: np.frombuffer(maps[int(k)].as_buffer(), "u8") for k in own.tolist()}
-        w = min(map(len, raw.values()))
-        bs = np.stack([_fold_parity(raw[k], w) for k in right.tolist()])
-        ns, cs, vs = n[right], comp[right], node[right]
+        raw = [np.frombuffer(maps[k].as_buffer(), "u8") for k in own.tolist()]
+        w = min(map(len, raw))
+        fine = np.stack([_fold_parity(x, w) for x in raw])
+        coarse = np.bitwise_xor.reduce(fine.reshape(len(own), 4, w // 4), axis=1)
+        bs, wide, to = fine[right], coarse[right], own[right]
+        ns, cs, vs = n[to], comp[to], node[to]
         pairs = []
-        for k in left.tolist():
-            top = parity_bound(n[k], _fold_parity(raw[k], w), ns, bs)
-            ok = np.flatnonzero((cs != comp[k]) & (5 * np.minimum(ns, n[k]) >= 4 * np.maximum(ns, n[k])) & (100 * top >= 80 * (ns + n[k] - top)))
+        for x in left.tolist():
+            k = own[x]
+            top = parity_bound(n[k], coarse[x], ns, wide)
+            may = (cs != comp[k]) & (5 * np.minimum(ns, n[k]) >= 4 * np.maximum(ns, n[k])) & (100 * top >= 80 * (ns + n[k] - top))
+            if not forest:  # pairs beside the main component are met from both sides
+                may &= (cs == main[k]) | (vs > node[k])
+            ok = np.flatnonzero(may)
             if len(ok):
-                pairs.append((np.full(len(ok), node[k]), vs[ok], np.full(len(ok), comp[k]), cs[ok], top[ok] / (ns[ok] + n[k] - top[ok])))
+                top = parity_bound(n[k], fine[x], ns[ok], bs[ok])
+                may = 100 * top >= 80 * (ns[ok] + n[k] - top)
+                ok, top = ok[may], top[may]
+            if len(ok) and forest:
+                pairs.append((np.full(len(ok), node[k]), vs[ok], np.full(len(ok), comp[k]), cs[ok], top / (ns[ok] + n[k] - top)))
+            elif len(ok):
+                near.append((key[k], node[k], n[k], vs[ok].tobytes()))
         if pairs:
             a, b, ca, cb, promise = map(np.concatenate, zip(*pairs, strict=True))
-            pick = _forest(ca, cb, promise) if forest else np.arange(len(a))
+            pick = _forest(ca, cb, promise)
             done.append(np.stack([np.minimum(a, b)[pick], np.maximum(a, b)[pick]], 1))
+    if not forest:
+        return pa.table([pa.array(c, t.type) for c, t in zip(zip(*near, strict=True) if near else [[]] * 4, NEAR, strict=True)], schema=NEAR)
     out = np.unique(np.concatenate(done), axis=0)
     return pa.table([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], schema=CANDIDATES)
 
 
+GATHERED = pa.schema([("g", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("others", pa.binary())])
+
+
+def _runs(*keys: np.ndarray) -> list[np.ndarray]:
+    """Places of equal keys, in the keys' order."""
+    order = np.lexsort(keys[::-1])
+    change = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    return np.split(order, np.flatnonzero(change) + 1) if len(order) else []
+
+
+def _gather(table: pa.Table, limit: int) -> pa.Table:
+    """Lists of a bucket, each pair of a key once, in groups of nodes with about ``limit`` shingles; a node has one row in a group."""
+    key, a, n = (table[c].to_numpy() for c in ("key", "a", "n"))
+    lists = [np.frombuffer(x.as_buffer(), "i8") for x in table["others"]]
+    rows = []
+    last, at, chunk, seen, weight = None, 0, {}, {}, 0
+
+    def flush() -> None:
+        g = int(mix(mix(np.array([last], "i8").view("u8")) + np.uint64(at)).view("i8")[0])
+        rows.extend((g, v, size, chunk.get(v)) for v, size in seen.items())
+
+    with np.errstate(over="ignore"):
+        for same in _runs(key, a):
+            k = same[0]
+            others = np.unique(np.concatenate([lists[x] for x in same.tolist()]))
+            size, here = int(n[k]), [int(a[k]), *others.tolist()]
+            more = size * sum(v not in seen for v in here)
+            if last != key[k] or weight + more > limit:
+                if seen:
+                    flush()
+                at = at + 1 if last == key[k] else 0
+                last, chunk, seen, weight, more = key[k], {}, {}, 0, size * len(here)
+            weight += more
+            chunk[here[0]] = others.tobytes()
+            for v in here:
+                seen.setdefault(v, size)
+        if seen:
+            flush()
+    return pa.table([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, GATHERED, strict=True)], schema=GATHERED)
+
+
+def _intersect(table: pa.Table) -> pa.Table:
+    """Of each group of a bucket, as many of the linked pairs as join its nodes."""
+    g, node = table["g"].to_numpy(), table["node"].to_numpy()
+    a, b = [], []
+    for own in _runs(g):
+        sets = dict(zip(node[own].tolist(), batch_shingles(table["text"].take(pa.array(own))), strict=True))
+        pairs: tuple[list[int], list[int]] = ([], [])
+        for v, others in zip(node[own].tolist(), table["others"].take(pa.array(own)), strict=True):
+            if not others.is_valid:
+                continue
+            s, others = sets[v], np.frombuffer(others.as_buffer(), "i8").tolist()
+            size = np.array([len(sets[x]) for x in others])
+            all_ = np.concatenate([sets[x] for x in others])
+            common = np.add.reduceat(s[np.minimum(np.searchsorted(s, all_), len(s) - 1)] == all_, np.append(0, size.cumsum()[:-1]), dtype="i8")
+            for k in np.flatnonzero(linked(len(s), size, common)).tolist():
+                pairs[0].append(v)
+                pairs[1].append(others[k])
+        x, y = (np.array(p, "i8") for p in pairs)
+        pick = _forest(x, y, np.zeros(len(x)))
+        a.append(np.minimum(x, y)[pick])
+        b.append(np.maximum(x, y)[pick])
+    return pa.table([pa.array(np.concatenate(c) if c else np.zeros(0, "i8")) for c in (a, b)], schema=VERIFIED)
+
+
 def _may_link(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that sizes and parities allow."""
     for batch in it:
@@ -363,7 +446,7 @@ def _linked_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _apart(members: DataFrame, comp: DataFrame, nodes: DataFrame, forest: bool) -> DataFrame:
-    """Pairs of nodes that share a cell, are in different components, and may be linked."""
+    """Pairs of nodes that share a cell, are in different components, and may be linked; see ``_tile``."""
     spark = members.sparkSession
     m = members.join(comp.select("node", F.col("comp.node").alias("comp")), "node", "left").select("cell", "node", F.coalesce("comp", "node").alias("comp"))
     m = stored(m, "cells")
@@ -376,13 +459,26 @@ def _apart(members: DataFrame, comp: DataFrame, nodes: DataFrame, forest: bool)
     # a cell of one tile gets each node once, for both sides
     single = F.col("mb") * F.col("rb") == 1
     role = F.when(single & (F.col("comp") != F.col("main")), 2).otherwise(1)
-    member = m.select("cell", "node", "comp", role.alias("role"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("i"), spread(1, "mb").alias("j"))
-    rest = m.filter((F.col("comp") != F.col("main")) & ~single).select("cell", "node", "comp", F.lit(0).alias("role"), spread(2, "rb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j"))
-    rows = member.union(rest).join(nodes.select("node", "n", "parity"), "node")
+    key = F.xxhash64("main", "i", "j", "mb", "rb").alias("key")
+    member = m.select("cell", "node", "comp", "main", "mb", "rb", role.alias("role"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("i"), spread(1, "mb").alias("j"))
+    rest = m.filter((F.col("comp") != F.col("main")) & ~single).select("cell", "node", "comp", "main", "mb", "rb", F.lit(0).alias("role"), spread(2, "rb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j"))
+    rows = member.union(rest).withColumn("key", key).drop("mb", "rb").join(nodes.select("node", "n", "parity"), "node")
     total = m.count()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 20_000)
     rows = rows.withColumn("bucket", F.pmod(F.hash("cell", "i", "j"), F.lit(buckets)))
-    return rows.groupBy("bucket").applyInArrow(lambda t: _tile(t, forest), "a long, b long")
+    return rows.groupBy("bucket").applyInArrow(lambda t: _tile(t, forest), "a long, b long" if forest else "key long, a long, n long, others binary")
+
+
+def _linked_lists(near: DataFrame, nodes: DataFrame, limit: int = GROUP) -> DataFrame:
+    """Of the pairs in the stored lists ``near``, linked ones that join all nodes that linked ones join."""
+    spark = near.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(width, math.ceil(near.agg(F.sum(F.octet_length("others"))).first()[0] / BUCKET))
+    groups = near.groupBy(F.pmod("key", F.lit(buckets)).alias("bucket")).applyInArrow(lambda t: _gather(t, limit), "g long, node long, n long, others binary")
+    groups = stored(groups, "groups")
+    parts = max(width, math.ceil(groups.agg(F.sum("n")).first()[0] / (2 * GROUP)))
+    rows = groups.select("g", "node", "others").join(nodes.select("node", "text"), "node")
+    return rows.groupBy(F.pmod("g", F.lit(parts)).alias("bucket")).applyInArrow(lambda t: _intersect(t), "a long, b long")
 
 
 def _members(docs: DataFrame, parts: Callable[[int], int]) -> DataFrame:
@@ -425,10 +521,11 @@ def _rows(docs: DataFrame, parts: Callable[[int], int] = parts) -> DataFrame:
     links = stored(_linked_pairs(stored(_allowed(star, nodes), "may-link"), nodes), "stars")
     comp = components(links, classes)
     for forest in ROUNDS:
-        found = stored(_apart(members, comp, nodes, forest).distinct(), "pairs")
+        found = _apart(members, comp, nodes, forest)
+        found = stored(found.distinct() if forest else found, "pairs")
         if not found.limit(1).count():
             break
-        links = stored(links.union(_linked_pairs(found, nodes)), "links")
+        links = stored(links.union(_linked_pairs(found, nodes) if forest else _linked_lists(found, nodes)), "links")
         comp = components(links, classes)
     by_node = stored(classes.join(comp, "node", "left").select("node", F.coalesce("comp.rank", "rank").alias("first")), "firsts")
     return stored(features.select("doc_id", "h", "n_shingles", "node").join(by_node, "node", "left").drop("node"), "rows", outlive=True)

@@ -7,6 +7,7 @@ import pytest
 
 from quern.llm import ngram_join as nj
 from quern.llm import textual
+from quern.llm.graphs import components
 
 
 def sets(text):
@@ -107,6 +108,61 @@ def test_linked_sets_that_differ_in_as_many_parts_as_they_can_meet(n):
         assert len(np.intersect1d(a[0], b[0])) or not b[1]
 
 
+def almost_copies(n):
+    """Texts that differ in words of their own: any two are far from each other by a little, but the last ones, which are linked by pairs."""
+    words = [f"w{i}" for i in range(138)]
+    texts = [" ".join(f"x{k}y{i}" if i in (20, 70, 120) else w for i, w in enumerate(words)) for k in range(n)]
+    return texts + [t + " and one more" for t in texts[-6:]]
+
+
+def test_pairs_of_a_large_group_that_just_miss_are_no_rows(spark, monkeypatch):
+    rows = list(enumerate(almost_copies(150)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made, apart, lists = [], nj._apart, nj._linked_lists
+
+    def counted(members, comp, nodes, forest):
+        found = apart(members, comp, nodes, forest)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(nj, "_apart", counted)
+    monkeypatch.setattr(nj, "_linked_lists", lambda near, nodes: lists(near, nodes, 20_000))  # several groups
+    monkeypatch.setattr(nj, "ROUNDS", (False,))
+    want = brute(rows)
+    cells = nj._members(df.select("doc_id", "text"), nj.parts).count()
+    got = sorted((tuple(r) for r in nj.jaccard_components(df).collect()), key=str)
+    assert got == want
+    assert 0 < made[0] <= cells
+
+
+def test_lists_in_groups_of_any_size():
+    r = np.random.default_rng(3)
+    pairs = {(int(a), int(b)) for a, b in r.integers(0, 40, (300, 2)) if a < b}
+    near = [(int(k), a, 10, np.array([b, b], "i8").tobytes()) for a, b in sorted(pairs) for k in {a % 3, b % 2}]
+    table = pa.table([pa.array(c, t.type) for c, t in zip(zip(*near), nj.NEAR)], schema=nj.NEAR)
+    for limit in (1, 100, 10_000):
+        rows = nj._gather(table, limit).to_pylist()
+        assert len({(x["g"], x["node"]) for x in rows}) == len(rows)
+        held = {g: {x["node"] for x in rows if x["g"] == g} for g in {x["g"] for x in rows}}
+        lists = [(x["g"], x["node"], b) for x in rows if x["others"] for b in np.frombuffer(x["others"], "i8").tolist()]
+        assert {(a, b) for _, a, b in lists} == pairs and all(b in held[g] for g, _, b in lists)
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_of_the_driver_and_of_joins(spark, few):
+    r = random.Random(4)
+    links = sorted({(r.randrange(120), 200 + r.randrange(120)) for _ in range(90)})
+    order = spark.createDataFrame([(v, -v) for v in range(320)], "node long, rank long")
+    got = {x.node: x.comp for x in components(spark.createDataFrame(links, "a long, b long"), order, few).collect()}
+    for a, b in links:
+        assert got[a] == got[b]
+    groups = {v: v for pair in links for v in pair}
+    for _ in groups:
+        for a, b in links:
+            groups[a] = groups[b] = max(groups[a], groups[b])
+    assert {v: c.node for v, c in got.items()} == groups
+
+
 def test_few_parts_lose_no_link(spark):
     rows = list(enumerate(corpus(4, 160)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
