@@ -102,3 +102,21 @@ def test_more_terms_than_are_sent(spark, monkeypatch):
     assert "zorblax" not in str(want[1]) and "term:" in str(want[0]) and "wrote" in str(want[1])
     monkeypatch.setattr(pii, "SENT", 0)
     assert [sorted(map(str, f(docs).collect())) for f in (pii.find, pii.clean)] == want
+
+
+def test_near_duplicate_stage_makes_no_row_of_each_pair_that_just_misses(spark, monkeypatch):
+    # any two share 119 of 149 shingles; the last six texts are linked with one each
+    texts = [" ".join(f"x{k}y{i}" if i in (20, 70, 120) else f"w{i}" for i in range(138)) for k in range(150)]
+    rows = list(enumerate(texts + [t + " and one more" for t in texts[-6:]]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made, apart = [], ngram_join._apart
+
+    def counted(members, comp, nodes, forest):
+        found = apart(members, comp, nodes, forest)
+        made.append((found.count(), members.count()))
+        return found
+
+    monkeypatch.setattr(ngram_join, "_apart", counted)
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert sorted(r.doc_id for r in out.collect()) == list(range(150))
+    assert made and all(found <= cells for found, cells in made)
