@@ -14,8 +14,9 @@ nodes count once. Every node of a cell is first compared with the cell's smalles
 one component need nothing more. In the others, each node outside the largest component is held
 against all nodes of other components by parities of 4 to 8 bits a shingle, whose differences bound
 the overlap from above; only what these leave is intersected exactly.
+Texts are not stored; those of pairs that parities leave are read again from the documents.
 The first round takes, of each tile, a forest of the most promising pairs between components, which meet with their
-texts and with bitmaps of 8 to 16 bits a shingle. The last one takes all pairs that are still apart, so components are those of all links. As they may be as many as
+texts and with bitmaps of 8 to 16 bits a shingle. The last one takes all pairs that are still apart, of the cells where the first found any, so components are those of all links. As they may be as many as
 the square of a group's size, they are never rows: a node has one row a tile with the list of its partners, and lists of
 the same nodes are put together to groups that hold each text once and yield links only.
 
@@ -39,7 +40,7 @@ from pyspark.sql import types as T
 from quern.llm.filters import BitFilter
 from quern.llm.graphs import components
 from quern.llm.textual import batch_shingles, batches, mix
-from quern.storage import scratch, stored
+from quern.storage import brief_shuffles, scratch, stored
 
 #: Standard deviations by which a document may have more empty parts than it has on average.
 SLACK = 7.0
@@ -112,11 +113,11 @@ def node_of(s: np.ndarray) -> int:
         return int(mix(total + np.uint64(len(s)) * np.uint64(0xD6E8FEB86659FD93)).view("i8")[0])
 
 
-FEATURES = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bitmap", pa.binary()), ("parity", pa.binary()), ("text", pa.string())])
+FEATURES = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("parity", pa.binary())])
 
 
 def _features(it: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
-    """Every row's set; the first row of a task whose set may be in a cell with others also carries its text, bitmap and parity."""
+    """Every row's set, without its text; the first row of a task whose set may be in a cell with others also carries its parity."""
     seen: set[int] = set()
     for batch in it:
         sets = batch_shingles(batch["text"])
@@ -129,14 +130,36 @@ def _features(it: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.Re
                 seen.add(v)
         if len(seen) > HELD:
             seen = set()
-        rows = pa.array([k if keep else None for k, keep in enumerate(own)], pa.int64())
         columns = [
             batch["doc_id"], batch["h"], [len(s) for s in sets], [v if len(s) else None for v, s in zip(nodes.tolist(), sets, strict=True)],
-            *([f(s) if keep else None for s, keep in zip(sets, own, strict=True)] for f in (bitmap, parity)), batch["text"].take(rows),
+            [parity(s) if keep else None for s, keep in zip(sets, own, strict=True)],
         ]
         yield pa.record_batch([pa.array(c, t.type) if isinstance(c, list) else c for c, t in zip(columns, FEATURES, strict=True)], schema=FEATURES)
 
 
+TEXTS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("bitmap", pa.binary()), ("text", pa.string())])
+
+
+def _fetch(it: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Texts whose hash and node may be among those of the shared filters, each node once a task or so."""
+    hashes, nodes = shared.value
+    seen: set[int] = set()
+    for batch in it:
+        batch = batch.filter(pa.array(hashes.may_have(batch["h"].to_numpy())))
+        sets = batch_shingles(batch["text"])
+        own = np.array([node_of(s) if len(s) else 0 for s in sets], "i8")
+        rows = []
+        for k, (v, may) in enumerate(zip(own.tolist(), nodes.may_have(own).tolist(), strict=True)):
+            if may and len(sets[k]) and v not in seen:
+                seen.add(v)
+                rows.append(k)
+        if len(seen) > HELD:
+            seen = set()
+        if rows:
+            columns = [own[rows], [len(sets[k]) for k in rows], [bitmap(sets[k]) for k in rows], batch["text"].take(pa.array(rows, pa.int64()))]
+            yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, TEXTS, strict=True)], schema=TEXTS)
+
+
 PACKED = pa.schema([("bucket", pa.int32()), ("meeting", pa.bool_()), ("cells", pa.binary()), ("nodes", pa.binary())])
 
 
@@ -282,7 +305,7 @@ def _verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).take(pa.array(out, pa.int64()))
 
 
-CANDIDATES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+CANDIDATES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cell", pa.int64())])
 
 
 def _forest(a: np.ndarray, b: np.ndarray, promise: np.ndarray) -> np.ndarray:
@@ -309,7 +332,8 @@ NEAR = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("n", pa.int64()), ("o
 def _tile(table: pa.Table, forest: bool) -> pa.Table:
     """Pairs of a bucket's tiles that the parities allow, of nodes in different components.
 
-    forest: as rows (a, b), only as many of each tile as join its components, if all were linked; else all, as lists by node.
+    forest: as rows (a, b, null), only as many of each tile as join its components, if all were linked, and (null, null, cell) of the cells that
+    have any; else all, as lists by node.
     """
     frame = table.combine_chunks()
     cells = [frame[c].to_numpy() for c in ("cell", "i", "j")]
@@ -317,7 +341,7 @@ def _tile(table: pa.Table, forest: bool) -> pa.Table:
     maps = frame["parity"].chunk(0) if frame.num_rows else None
     order = np.lexsort((node, role, *cells[::-1]))
     change = np.any([k[order][1:] != k[order][:-1] for k in cells], axis=0) if len(order) else np.zeros(0, bool)
-    done, near = [np.zeros((0, 2), "i8")], []
+    done, near, open_ = [np.zeros((0, 2), "i8")], [], set()
     for own in np.split(order, np.flatnonzero(change) + 1):
         left, right = np.flatnonzero(role[own] != 1), np.flatnonzero(role[own] != 0)
         if not len(left) or not len(right):
@@ -348,10 +372,12 @@ def _tile(table: pa.Table, forest: bool) -> pa.Table:
             a, b, ca, cb, promise = map(np.concatenate, zip(*pairs, strict=True))
             pick = _forest(ca, cb, promise)
             done.append(np.stack([np.minimum(a, b)[pick], np.maximum(a, b)[pick]], 1))
+            open_.add(int(cells[0][own[0]]))
     if not forest:
         return pa.table([pa.array(c, t.type) for c, t in zip(zip(*near, strict=True) if near else [[]] * 4, NEAR, strict=True)], schema=NEAR)
     out = np.unique(np.concatenate(done), axis=0)
-    return pa.table([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], schema=CANDIDATES)
+    some, none = pa.array(sorted(open_), pa.int64()), lambda k: pa.nulls(k, pa.int64())
+    return pa.table([pa.concat_arrays([pa.array(out[:, c].copy()), none(len(some))]) for c in (0, 1)] + [pa.concat_arrays([none(len(out)), some])], schema=CANDIDATES)
 
 
 GATHERED = pa.schema([("g", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("others", pa.binary())])
@@ -439,16 +465,28 @@ def _allowed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_may_link, "a long, b long")
 
 
-def _linked_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked."""
+def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, n, bitmap, text) of the nodes of ``wanted``, and by chance of a few others; read from ``docs`` (h, text), so that no other text is moved or stored.
+
+    classes: (node, rank) with the hash ``h`` of one of the node's texts in rank.
+    """
+    spark = docs.sparkSession
+    keys = stored(wanted.distinct().join(classes, "node").select("node", "rank.h"), "wanted")
+    shared = spark.sparkContext.broadcast((BitFilter.of(keys, "h"), BitFilter.of(keys, "node")))
+    return docs.select("h", "text").mapInArrow(lambda it: _fetch(it, shared), "node long, n long, bitmap binary, text string").dropDuplicates(["node"])
+
+
+def _linked_pairs(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The stored pairs (a, b) that are linked."""
+    nodes = texts(pairs.select(F.explode(F.array("a", "b")).alias("node")))
     side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("bitmap").alias(f"b{k}"), F.col("text").alias(f"t{k}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_verify, "a long, b long")
 
 
 def _apart(members: DataFrame, comp: DataFrame, nodes: DataFrame, forest: bool) -> DataFrame:
-    """Pairs of nodes that share a cell, are in different components, and may be linked; see ``_tile``."""
+    """Pairs of nodes that share a cell, are in different components, and may be linked; see ``_tile``. Stars have decided all pairs of a cell's centre."""
     spark = members.sparkSession
-    m = members.join(comp.select("node", F.col("comp.node").alias("comp")), "node", "left").select("cell", "node", F.coalesce("comp", "node").alias("comp"))
+    m = members.filter("node != centre").join(comp.select("node", F.col("comp.node").alias("comp")), "node", "left").select("cell", "node", F.coalesce("comp", "node").alias("comp"))
     m = stored(m, "cells")
     # the component of the most nodes of a cell; counts are made before rows meet
     sizes = m.groupBy("cell", "comp").agg(F.count("*").alias("k"))
@@ -466,10 +504,10 @@ def _apart(members: DataFrame, comp: DataFrame, nodes: DataFrame, forest: bool)
     total = m.count()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 20_000)
     rows = rows.withColumn("bucket", F.pmod(F.hash("cell", "i", "j"), F.lit(buckets)))
-    return rows.groupBy("bucket").applyInArrow(lambda t: _tile(t, forest), "a long, b long" if forest else "key long, a long, n long, others binary")
+    return rows.groupBy("bucket").applyInArrow(lambda t: _tile(t, forest), "a long, b long, cell long" if forest else "key long, a long, n long, others binary")
 
 
-def _linked_lists(near: DataFrame, nodes: DataFrame, limit: int = GROUP) -> DataFrame:
+def _linked_lists(near: DataFrame, texts: Callable[[DataFrame], DataFrame], limit: int = GROUP) -> DataFrame:
     """Of the pairs in the stored lists ``near``, linked ones that join all nodes that linked ones join."""
     spark = near.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -477,7 +515,7 @@ def _linked_lists(near: DataFrame, nodes: DataFrame, limit: int = GROUP) -> Data
     groups = near.groupBy(F.pmod("key", F.lit(buckets)).alias("bucket")).applyInArrow(lambda t: _gather(t, limit), "g long, node long, n long, others binary")
     groups = stored(groups, "groups")
     parts = max(width, math.ceil(groups.agg(F.sum("n")).first()[0] / (2 * GROUP)))
-    rows = groups.select("g", "node", "others").join(nodes.select("node", "text"), "node")
+    rows = groups.select("g", "node", "others").join(texts(groups.select("node")).select("node", "text"), "node")
     return rows.groupBy(F.pmod("g", F.lit(parts)).alias("bucket")).applyInArrow(lambda t: _intersect(t), "a long, b long")
 
 
@@ -502,6 +540,7 @@ def _members(docs: DataFrame, parts: Callable[[int], int]) -> DataFrame:
 
 
 @scratch()
+@brief_shuffles
 def _rows(docs: DataFrame, parts: Callable[[int], int] = parts) -> DataFrame:
     """Stored (doc_id, h, n_shingles, first) for every row of ``docs`` (doc_id, h, text).
 
@@ -511,21 +550,25 @@ def _rows(docs: DataFrame, parts: Callable[[int], int] = parts) -> DataFrame:
     members = _members(docs, parts)
     involved = stored(members.select("node").distinct(), "involved")
     shared = spark.sparkContext.broadcast(BitFilter.of(involved, "node"))
-    features = stored(docs.select("doc_id", "h", "text").mapInArrow(lambda it: _features(it, shared), "doc_id long, h long, n_shingles long, node long, bitmap binary, parity binary, text string"), "features")
+    features = stored(docs.select("doc_id", "h", "text").mapInArrow(lambda it: _features(it, shared), "doc_id long, h long, n_shingles long, node long, parity binary"), "features")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     classes = stored(features.filter("node is not null").groupBy("node").agg(F.min(rank).alias("rank")), "classes")
-    carried = features.filter("text is not null").select("node", F.col("n_shingles").alias("n"), "bitmap", "parity", "text")
+    carried = features.filter("parity is not null").select("node", F.col("n_shingles").alias("n"), "parity")
     nodes = stored(carried.join(involved, "node", "left_semi").dropDuplicates(["node"]), "nodes")
 
+    texts = functools.partial(_texts, docs, classes)
     star = members.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(_linked_pairs(stored(_allowed(star, nodes), "may-link"), nodes), "stars")
+    links = stored(_linked_pairs(stored(_allowed(star, nodes), "may-link"), texts), "stars")
     comp = components(links, classes)
     for forest in ROUNDS:
         found = _apart(members, comp, nodes, forest)
         found = stored(found.distinct() if forest else found, "pairs")
         if not found.limit(1).count():
             break
-        links = stored(links.union(_linked_pairs(found, nodes) if forest else _linked_lists(found, nodes)), "links")
+        if forest:  # no pair of the other cells may be linked
+            members = members.join(found.filter("cell is not null").select("cell"), "cell", "left_semi")
+            found = found.filter("a is not null").select("a", "b")
+        links = stored(links.union(_linked_pairs(found, texts) if forest else _linked_lists(found, texts)), "links")
         comp = components(links, classes)
     by_node = stored(classes.join(comp, "node", "left").select("node", F.coalesce("comp.rank", "rank").alias("first")), "firsts")
     return stored(features.select("doc_id", "h", "n_shingles", "node").join(by_node, "node", "left").drop("node"), "rows", outlive=True)

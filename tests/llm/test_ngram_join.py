@@ -1,5 +1,7 @@
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -135,6 +137,49 @@ def test_pairs_of_a_large_group_that_just_miss_are_no_rows(spark, monkeypatch):
     assert 0 < made[0] <= cells
 
 
+def test_disk_holds_no_texts_but_those_of_pairs_that_may_be_linked(spark, monkeypatch):
+    # 200 texts share a line and no more, so their cells have nothing for the last round; of the others, five are linked
+    r = random.Random(9)
+    own = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    rows = list(enumerate([f"the same line in front of all {own(40)}" for _ in range(200)] + almost_copies(20)))
+    rows += [(900 + k, rows[3][1] + " and more" * k) for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tables, fetched, cells, stored, texts, apart = [], [], [], nj.stored, nj._texts, nj._apart
+
+    def kept(table, what, outlive=False):
+        tables.append(table.columns)
+        return stored(table, what, outlive)
+
+    def read(docs, classes, wanted):
+        fetched.append(texts(docs, classes, wanted).count())
+        return texts(docs, classes, wanted)
+
+    def counted(members, comp, nodes, forest):
+        cells.append(members.select("cell").distinct().count())
+        return apart(members, comp, nodes, forest)
+
+    for name, f in (("stored", kept), ("_texts", read), ("_apart", counted)):
+        monkeypatch.setattr(nj, name, f)
+    assert sorted((tuple(x) for x in nj.jaccard_components(df).collect()), key=str) == brute(rows)
+    assert not any({"text", "bitmap"} & set(columns) for columns in tables)
+    assert fetched and max(fetched) < 100
+    assert len(cells) == 2 and cells[1] < cells[0]
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    top = [Path(d.getAbsolutePath()) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f.name for d in top for f in d.rglob("shuffle_*.data")}
+    before, setting = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    rows = list(enumerate(corpus(4, 60)))
+    result = nj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    assert sorted((tuple(x) for x in result.collect()), key=str) == brute(rows)
+
+
 def test_lists_in_groups_of_any_size():
     r = np.random.default_rng(3)
     pairs = {(int(a), int(b)) for a, b in r.integers(0, 40, (300, 2)) if a < b}
