@@ -9,7 +9,8 @@ admitted whole, and before rows of large groups), and classes are admitted while
 that refused movers: they take another of their shards, or else any with room. Rounds end when no row moves and no other shard refuses, or
 after ``ROUNDS``. Rows without a link, and the few linked ones beyond a quota, then fill up the shards
 exactly. Nothing is ordered in one task: places are counted by hash buckets of about ``BUCKET`` rows,
-and only the buckets' totals are summed in order.
+and only the buckets' totals are summed in order. Tables in between and the result have a part for each ``BUCKET`` rows, not one
+for each partition of a shuffle: on a local file system without Hadoop's native library each new file starts two processes (chmod).
 
 Null text is of 0 bytes and is linked with empty text. Null and repeated doc_ids are rows like others.
 """
@@ -37,12 +38,17 @@ def numbered(df: DataFrame, key: str, rows: int, name: str) -> DataFrame:
     return df.join(before, [key, "bucket"]).withColumn(name, (F.col("before") + own - 1).cast("long")).drop("bucket", "before")
 
 
+def _parts(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in as many parts, and so files, as ``rows`` rows fill buckets; in fewer, if it has fewer."""
+    return df.coalesce(max(1, math.ceil(rows / BUCKET)))
+
+
 def _of(values: list[int], index) -> F.Column:
     return F.element_at(F.array(*[F.lit(int(v)) for v in values]), index.cast("int") + 1)
 
 
-def _move(linked: DataFrame, shards: int, quota: int, round_: int, full: list[int], free: list[int], rooms: list[int]) -> tuple[DataFrame, int, list[int], list[int], list[int]]:
-    """One round of propagation: rows with new shards, how many moved, the shards that refused some and that have much room, and each one's room; full, free, rooms: those of the round before."""
+def _move(linked: DataFrame, shards: int, quota: int, round_: int, full: list[int], free: list[int], rooms: list[int], total: int) -> tuple[DataFrame, int, list[int], list[int], list[int]]:
+    """One round of propagation: rows with new shards, how many moved, the shards that refused some and that have much room, and each one's room; full, free, rooms: those of the round before; total: rows of the whole table."""
     counts = linked.groupBy(*GROUP, "shard").agg(F.count("*").alias("n"), F.first("k").alias("k"))
     is_small = F.col("k") <= quota // 4
     avoid = is_small & F.col("shard").isin(full) & (F.col("n") < F.col("k")) if free else F.lit(False)
@@ -63,7 +69,7 @@ def _move(linked: DataFrame, shards: int, quota: int, round_: int, full: list[in
     )
     half = lambda h: F.pmod(h, F.lit(CLASSES // 2))
     small = F.when(is_small, half(F.xxhash64("g", F.lit(round_)))).otherwise(half(spread) + CLASSES // 2)
-    rows = stored(rows.drop("best", "open").withColumn("class", small.cast("int")), "moves")
+    rows = stored(_parts(rows.drop("best", "open").withColumn("class", small.cast("int")), total), "moves")
     stay = {r.shard: r.n for r in rows.filter("to = shard").groupBy("shard").agg(F.count("*").alias("n")).collect()}
     demand: dict[int, dict[int, int]] = {}
     for r in rows.filter("to != shard").groupBy("to", "class").agg(F.count("*").alias("n")).collect():  # shards x CLASSES rows at most
@@ -92,7 +98,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     base = stored(base, "rows")
     total = base.count()
     groups = base.groupBy(*GROUP).agg(F.count("*").alias("k")).filter("k > 1")
-    rows = stored(base.join(groups, list(GROUP), "left").withColumn("k", F.coalesce("k", F.lit(1).cast("long"))), "groups")
+    rows = stored(_parts(base.join(groups, list(GROUP), "left").withColumn("k", F.coalesce("k", F.lit(1).cast("long"))), total), "groups")
     want = [total // shards + (s < total % shards) for s in range(shards)]
     linked = rows.filter("k > 1").withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int"))
     quota = max(1, total // shards)
@@ -101,12 +107,11 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rooms = [quota] * shards
     for i in range(ROUNDS):
         before = full
-        linked, moved, full, free, rooms = _move(linked, shards, quota, i, full, free, rooms)
+        linked, moved, full, free, rooms = _move(linked, shards, quota, i, full, free, rooms, total)
         if not moved and (full == before or not free):
             break
-    linked = stored(linked, "linked")
     # a shard keeps its linked rows up to its size; the others join the unlinked rows
-    placed = stored(numbered(linked, "shard", total // shards, "place"), "placed")
+    placed = stored(_parts(numbered(linked, "shard", total // shards, "place"), total), "placed")
     stays = placed.filter(F.col("place") < _of(want, F.col("shard"))).drop("place")
     have = {r.shard: r.n for r in stays.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     pool = rows.filter("k = 1").unionByName(placed.filter(F.col("place") >= _of(want, F.col("shard"))).drop("place", "shard"))
@@ -117,5 +122,5 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     pool = numbered(pool.withColumn("one", F.lit(0)), "one", total, "place").drop("one")
     limits = F.array(*[F.lit(e).cast("long") for e in ends])
     filled = pool.withColumn("shard", F.size(F.filter(limits, lambda e: e <= F.col("place"))).cast("int")).drop("place")
-    out = numbered(stored(stays.unionByName(filled), "shards"), "shard", total // shards, "slot")
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    out = numbered(stored(_parts(stays.unionByName(filled), total), "shards"), "shard", total // shards, "slot")
+    return _parts(out, total).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

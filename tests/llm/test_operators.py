@@ -4,6 +4,8 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -81,6 +83,24 @@ def test_sharding_keeps_large_groups_on_few_shards(spark, hot, small, least):
     assert kept >= 2 * edges / 40
 
 
+def test_sharding_writes_files_by_rows_not_by_partitions(spark, tmp_path):
+    texts = [f"pair {i // 2}" for i in range(300)] + ["hot"] * 100 + [f"single {i}" for i in range(200)]
+    shared = Path(urlparse(spark.conf.get("spark.checkpoint.dir")).path)
+    wide = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, old = set(shared.iterdir()), {k: spark.conf.get(k) for k in wide}
+    try:
+        for k, v in wide.items():
+            spark.conf.set(k, v)
+        sharding.shard(frame(spark, texts)).write.parquet(str(tmp_path / "out"))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    files = {p.name: len(list(p.glob("part-*"))) for p in [*(set(shared.iterdir()) - before), tmp_path / "out"]}
+    files = {name: n for name, n in files.items() if not name.startswith("rows-")}  # as many as the scan of the texts has tasks
+    assert len(files) >= 5 and set(files.values()) == {1}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 600
+
+
 # 2 and 6
 def labelled(spark, n=700):
     r = random.Random(2)
